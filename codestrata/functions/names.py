@@ -23,7 +23,7 @@ def short_name(repository: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of every Unicode kind."""
-    return F.regexp_replace(text, rf"\A[{WHITESPACE}]+|[{WHITESPACE}]+\z", "")
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def non_empty(text: Column) -> Column:

@@ -65,4 +65,5 @@ def coerce_number(value: Column) -> Column:
 
 def coerce_count(value: Column) -> Column:
     """Digit-only text as a long; anything else (a binary file's ``-``) is NULL."""
-    return F.when(value.rlike(r"\A[0-9]+\z"), value.try_cast("long"))
+    digits = F.translate(value, "0123456789", "") == ""
+    return F.when(digits & (value != ""), value.try_cast("long"))

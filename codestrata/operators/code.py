@@ -11,11 +11,15 @@ from codestrata.functions.text import (
     TEST_FRAMEWORKS,
     annotation_count,
     code_only,
-    comment_line_count,
     decision_count,
+    framework_mentions,
+    has_spare_slot,
+    is_comment,
     is_test_file,
-    line_count,
-    mentions,
+    line_head,
+    line_slots,
+    names_framework,
+    with_line_feeds,
     written_line_count,
 )
 from codestrata.schemas import columns
@@ -56,57 +60,73 @@ def structure_summary(types: DataFrame) -> DataFrame:
     )
 
 
-def file_profile(sources: DataFrame) -> DataFrame:
-    """Line, test and framework measures of every file, read once and not exploded."""
+def source_profile(sources: DataFrame) -> DataFrame:
+    """Line, test and framework totals per repository from one pass over the texts.
+
+    Texts are exploded into lines that are reduced to counters in the same stage, so
+    only counters are shuffled. Measures of the file as a whole are taken from its
+    first line; a file without text has one row and no lines. Totals that a caller
+    does not select are not computed.
+    """
     text = F.col("text")
-    test_file = is_test_file(F.col("file")) & text.isNotNull()
-    written = F.coalesce(written_line_count(text), F.lit(0))
-    in_tests = [
-        F.coalesce(F.when(test_file, mentions(text, pattern)), F.lit(False)).alias(name)
-        for name, pattern in TEST_FRAMEWORKS.items()
-    ]
-    return sources.select(
+    unified = F.col("unified")
+    files = sources.select(
         "repository",
-        "file",
-        F.coalesce(line_count(text), F.lit(0)).alias("lines"),
-        written.alias("written"),
-        F.coalesce(comment_line_count(text), F.lit(0)).alias("comment"),
-        test_file.alias("is_test"),
-        F.coalesce(F.when(test_file, annotation_count(text)), F.lit(0)).alias(
-            "test_methods"
-        ),
-        *in_tests,
+        (is_test_file(F.col("file")) & text.isNotNull()).alias("is_test"),
+        with_line_feeds(text).alias("unified"),
+        F.when(is_test_file(F.col("file")), annotation_count(text)).alias("annotations"),
+        F.when(is_test_file(F.col("file")), framework_mentions(text)).alias("mentions"),
+    )
+    lines = files.select(
+        "repository",
+        "is_test",
+        "annotations",
+        "mentions",
+        has_spare_slot(unified).alias("spare_slot"),
+        F.posexplode_outer(line_slots(unified)).alias("position", "line"),
+    ).select(
+        "repository",
+        "is_test",
+        "annotations",
+        "mentions",
+        "spare_slot",
+        (F.coalesce("position", F.lit(0)) == 0).alias("first"),
+        line_head(F.col("line")).alias("head"),
+    )
+    first, in_test, head = F.col("first"), F.col("is_test"), F.col("head")
+    blank, comment = head == "", is_comment(head)
+    frameworks = (
+        F.coalesce(F.bool_or(first & names_framework(F.col("mentions"), name)), F.lit(False))
+        .alias(name)
+        for name in sorted(TEST_FRAMEWORKS)
+    )
+    return lines.groupBy("repository").agg(
+        F.count_if(first).alias("files"),
+        (F.count_if(blank) - F.count_if(first & F.col("spare_slot"))).alias("blank"),
+        F.count_if(comment).alias("comment"),
+        F.count_if(~blank & ~comment).alias("code"),
+        F.count_if(first & in_test).alias("test_files"),
+        F.coalesce(F.sum(F.when(first, F.col("annotations"))), F.lit(0)).alias("test_methods"),
+        F.count_if(~blank & ~in_test).alias("main_loc"),
+        F.count_if(~blank & in_test).alias("test_loc"),
+        *frameworks,
     )
 
 
 def line_classes(profile: DataFrame) -> DataFrame:
-    """``loc`` rows counted from the sources; every file counts, readable or not."""
-    counted = profile.groupBy("repository").agg(
-        F.count(F.lit(1)).alias("files"),
-        F.sum(F.col("lines") - F.col("written")).alias("blank"),
-        F.sum("comment").alias("comment"),
-        F.sum(F.col("written") - F.col("comment")).alias("code"),
-    )
-    return counted.select(
+    """``loc`` rows of a source profile; every file counts, readable or not."""
+    return profile.select(
         *(F.col(name.removeprefix("java_")).alias(name) for name in columns("loc"))
     )
 
 
 def tests_summary(profile: DataFrame) -> DataFrame:
-    """``tests`` rows: test files, test methods, line ratio and frameworks in use."""
-    in_test, in_main = F.col("is_test"), ~F.col("is_test")
-    totals = profile.groupBy("repository").agg(
-        F.count_if(in_test).alias("test_files"),
-        F.sum("test_methods").alias("test_methods"),
-        F.coalesce(F.sum(F.when(in_main, F.col("written"))), F.lit(0)).alias("main_loc"),
-        F.coalesce(F.sum(F.when(in_test, F.col("written"))), F.lit(0)).alias("test_loc"),
-        *(F.bool_or(name).alias(name) for name in TEST_FRAMEWORKS),
-    )
-    found = F.array(*(F.when(F.col(name), F.lit(name)) for name in sorted(TEST_FRAMEWORKS)))
-    return totals.withColumns(
+    """``tests`` rows of a source profile, with the frameworks in use by name."""
+    in_use = F.array(*(F.when(F.col(name), F.lit(name)) for name in sorted(TEST_FRAMEWORKS)))
+    return profile.withColumns(
         {
             "test_to_main_ratio": ratio_or_zero(F.col("test_loc"), F.col("main_loc"), 4),
-            "frameworks": F.array_join(found, ";"),
+            "frameworks": F.array_join(in_use, ";"),
         }
     ).select(*columns("tests"))
 
@@ -132,10 +152,11 @@ def type_declarations(sources: DataFrame) -> DataFrame:
     found = sources.select(
         "repository",
         "file",
-        F.posexplode(
+        # The outer form is not preceded by a filter that would search the text twice.
+        F.posexplode_outer(
             F.regexp_extract_all(code_only(F.col("text")), F.lit(TYPE_DECLARATION), F.lit(0))
         ).alias("position", "declaration"),
-    )
+    ).filter(F.col("position").isNotNull())
 
     def part(group: int):
         return F.regexp_extract("declaration", TYPE_DECLARATION, group)

@@ -12,7 +12,7 @@ from codestrata.operators.code import complexity_summary, structure_summary
 from codestrata.operators.people import concentration_risk, contribution_share
 from codestrata.operators.pull_requests import pull_request_health
 from codestrata.operators.ranking import first_per_key
-from codestrata.schemas import SCHEMAS, columns
+from codestrata.schemas import columns
 
 # Fixed value: weight of an active day in the activity score.
 ACTIVE_DAY_WEIGHT = 5
@@ -20,7 +20,10 @@ ACTIVE_DAY_WEIGHT = 5
 # Tables whose keys make a repository known. Files, pull requests and methods do not.
 KEY_TABLES = ("repositories", "commits", "developers", "loc", "tests", "structure")
 
-_NULLABLE_MEANS = ("avg_commits_per_pr", "avg_pr_close_hours")
+# Column that marks a table as landed row by row, with its place in the file.
+SEQUENCE = "ingest_seq"
+
+PULL_REQUEST_MEANS = ("avg_commits_per_pr", "avg_pr_close_hours")
 
 
 def align_key(repositories: DataFrame) -> DataFrame:
@@ -51,11 +54,17 @@ def activity_score(weight: int = ACTIVE_DAY_WEIGHT) -> Column:
 
 
 def _measures(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Every table reduced to at most one row per repository."""
+    """Every table reduced to at most one row per repository.
+
+    Of the tables that are looked up by key, one read in file order carries a sequence
+    column and keeps its first row per key; one without is unique by construction.
+    """
+
     def first(table: str, *names: str) -> DataFrame:
         rows = tables[table]
-        kept = [name for name in ("repository", *names, "ingest_seq") if name in rows.columns]
-        return first_per_key(rows.select(*kept), "repository")
+        if SEQUENCE not in rows.columns:
+            return rows.select("repository", *names)
+        return first_per_key(rows.select("repository", *names, SEQUENCE), "repository")
 
     health = pull_request_health(tables["pull_requests"])
     return {
@@ -68,7 +77,7 @@ def _measures(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "tests": first("tests", "test_methods"),
         "structure": structure_summary(tables["structure"]),
         "complexity": complexity_summary(tables["complexity"]),
-        "pull_requests": health.withColumn("has_pull_requests", F.lit(True)),
+        "pull_requests": health.withColumn("has_pull_requests", F.lit(1)),
     }
 
 
@@ -104,20 +113,14 @@ def derive_indicators(collapsed: DataFrame) -> DataFrame:
     A mean over pull requests that exist but hold no number stays NULL; it is 0.0 only
     where the repository has no pull request at all.
     """
-    types = {field.name: field.dataType for field in SCHEMAS["quality_indicators"].fields}
-    computed = {"repository", "concentration_risk", "testability", "activity_score"}
+    counted = [name for name in collapsed.columns if name not in PULL_REQUEST_MEANS]
 
-    def filled(name: str) -> Column:
-        value = F.coalesce(F.col(name), F.lit(0).cast(types[name]))
-        if name in _NULLABLE_MEANS:
-            return F.when(F.col("has_pull_requests"), F.col(name)).otherwise(value)
-        return value.cast(types[name])
+    def mean(name: str) -> Column:
+        return F.when(F.col("has_pull_requests") == 1, F.col(name)).otherwise(F.lit(0.0))
 
-    measured = collapsed.select(
-        "repository", *(filled(name).alias(name) for name in types if name not in computed)
-    )
-    return measured.withColumns(
-        {
+    return collapsed.fillna(0, subset=counted).withColumns(
+        {name: mean(name) for name in PULL_REQUEST_MEANS}
+        | {
             "concentration_risk": concentration_risk(F.col("top5_commit_share_pct")),
             "testability": ratio_or_zero(F.col("test_methods"), F.col("methods"), 4),
             "activity_score": activity_score(),

@@ -40,9 +40,9 @@ def run(spark: SparkSession, landed: str, published: str, database: str | None =
     publish("files", history.most_changed_files(history.file_churn(fact("file_change"))))
     publish("pull_requests", pull_request_facts(fact("raw_pull_request")))
 
-    # Sources are by far the largest input and feed two tables: measure them once.
-    profile_path = f"{published}/_file_profile"
-    code.file_profile(fact("source_file")).write.mode("overwrite").parquet(profile_path)
+    # Sources are by far the largest input and feed two tables: read them once.
+    profile_path = f"{published}/_source_profile"
+    code.source_profile(fact("source_file")).write.mode("overwrite").parquet(profile_path)
     profile = spark.read.parquet(profile_path)
     publish("loc", code.line_classes(profile))
     publish("tests", code.tests_summary(profile))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.names import repository_of, strip
 from codestrata.functions.numeric import coerce_count
-from codestrata.functions.text import LINE_BREAK
+from codestrata.functions.text import line_slots, with_line_feeds
 from codestrata.sources.landed import position_in_source
 
-# The marker in front of each commit id, the three tab-separated
+# The marker in front of each commit id, the number of tab-separated
 # parts of a change line, and the layout of an author line.
 COMMIT_MARKER = "C"
-CHANGE_LINE = r"\A[^\t]*\t[^\t]*\t[^\t]*\z"
+CHANGE_PARTS = 3
 AUTHOR_LINE = r"(?U)^\s*(\d+)\s+(.+?)\s+<(.*?)>\s*$"
 
 
@@ -43,21 +43,28 @@ def parse_change_log(records: DataFrame) -> DataFrame:
     Counts that are not all digits, as for binary files, become NULL.
     """
     # Only the first record of a file still carries the marker.
-    record = F.regexp_replace("value", rf"\A{COMMIT_MARKER}", "")
-    lines = records.select("repository", "log_seq", F.split(record, LINE_BREAK).alias("lines"))
-    changes = lines.select(
+    unmarked = F.when(
+        F.startswith("value", F.lit(COMMIT_MARKER)), F.substr("value", F.lit(2))
+    ).otherwise(F.col("value"))
+    record = records.select("repository", "log_seq", unmarked.alias("record"))
+    # The outer form keeps the optimizer from evaluating the split a second time in a
+    # filter for empty arrays; the next filter drops everything but change lines.
+    lines = record.select(
+        "repository", "log_seq", line_slots(with_line_feeds(F.col("record"))).alias("lines")
+    ).select(
         "repository",
         strip(F.get("lines", F.lit(0))).alias("sha"),
         "log_seq",
-        F.explode("lines").alias("line"),
-    ).filter(F.rlike("line", F.lit(CHANGE_LINE)))
-    return changes.select(
+        F.explode_outer("lines").alias("line"),
+    )
+    parts = lines.select("repository", "sha", "log_seq", F.split("line", "\t").alias("parts"))
+    return parts.filter(F.size("parts") == CHANGE_PARTS).select(
         "repository",
         "sha",
         "log_seq",
-        F.split_part("line", F.lit("\t"), F.lit(3)).alias("file"),
-        coerce_count(F.split_part("line", F.lit("\t"), F.lit(1))).alias("added"),
-        coerce_count(F.split_part("line", F.lit("\t"), F.lit(2))).alias("removed"),
+        F.get("parts", F.lit(2)).alias("file"),
+        coerce_count(F.get("parts", F.lit(0))).alias("added"),
+        coerce_count(F.get("parts", F.lit(1))).alias("removed"),
     )
 
 

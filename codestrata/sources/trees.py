@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +27,9 @@ def lenient_utf8(content: Column) -> Column:
 def scan_source_files(spark: SparkSession, root: str, pattern: str = "*.java") -> DataFrame:
     """``source_file`` facts of trees laid out as ``root/<owner__name>/...``.
 
-    Spark's file listing leaves out names that start with ``.`` or ``_``. For a large
-    corpus land this once as Parquet: one object per source file does not scan well.
+    Spark's file listing leaves out names that start with ``.`` or ``_`` and files of
+    zero length. A corpus landed as ``source_file`` Parquet keeps them, and scans far
+    better than one object per source file.
     """
     files = (
         spark.read.format("binaryFile")
@@ -41,7 +43,7 @@ def scan_source_files(spark: SparkSession, root: str, pattern: str = "*.java") -
 def parse_source_files(files: DataFrame, root: str) -> DataFrame:
     """Files as ``path, content`` into repository key, relative path and text."""
     folder, relative = _below(F.col("path"), root)
-    return files.filter(~F.contains("path", F.lit("/.git/"))).select(
+    return files.filter(~F.contains("path", F.lit("/.git/")) & (folder != "")).select(
         repository_of(folder).alias("repository"),
         relative.alias("file"),
         lenient_utf8(F.col("content")).alias("text"),
@@ -49,8 +51,14 @@ def parse_source_files(files: DataFrame, root: str) -> DataFrame:
 
 
 def _below(path: Column, root: str) -> tuple[Column, Column]:
-    """First folder below the root, and the path below that folder."""
-    pattern = rf"\A(?:\w+:/{{0,2}})?\Q{root.rstrip('/')}\E/([^/]+)/(.*)\z"
+    """First folder below the root, and the path below that folder.
+
+    Scheme and host are ignored on both sides: Spark reports ``file:/data`` for what
+    was given as ``/data`` or ``file:///data``.
+    """
+    location = r"(?:\w+:(?://[^/]*)?)?"
+    folder = re.sub(rf"\A{location}", "", root.rstrip("/"))
+    pattern = rf"\A{location}\Q{folder}\E/([^/]+)/(.*)\z"
     return F.regexp_extract(path, pattern, 1), F.regexp_extract(path, pattern, 2)
 
 

@@ -41,7 +41,7 @@ def line_classes_sql(view: str) -> str:
 
 
 def profile(spark, sf_dir, view="v_source"):
-    return code.file_profile(load(spark, sf_dir, view))
+    return code.source_profile(load(spark, sf_dir, view))
 
 
 @query(line_classes_sql("v_source"), "v_source")

@@ -167,8 +167,8 @@ _REPORTED = """
     select concat('o/', c_custkey) as repository, c_custkey as files, c_custkey * 2 as blank,
       c_custkey * 3 as comment, c_custkey * 4 as code,
       case when c_custkey % 3 = 0 then 0 else c_custkey end as java_files,
-      case when c_custkey % 3 = 0 then 0 else c_custkey * 4 end as java_code, 0 as java_comment,
-      0 as java_blank
+      case when c_custkey % 3 = 0 then 0 else c_custkey * 4 end as java_code,
+      cast(0 as bigint) as java_comment, cast(0 as bigint) as java_blank
     from customer where c_custkey % 5 <> 0"""
 
 
@@ -209,7 +209,7 @@ def line_count_choice(spark, sf_dir):
     name = F.concat(F.lit("o/"), "c_custkey")
     reported = trees.parse_line_counts(_reports(spark, sf_dir, name))
     sources = load(spark, sf_dir, "v_source").filter(F.endswith("repository", F.lit("/BUILDING")))
-    counted = code.line_classes(code.file_profile(sources)).withColumn(
+    counted = code.line_classes(code.source_profile(sources)).withColumn(
         "repository", F.concat(F.lit("o/"), F.substring_index("repository", "/", 1))
     )
     return trees.first_available(reported, counted)

@@ -8,6 +8,7 @@ for another view.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -142,10 +143,17 @@ VIEWS = {
 }
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, or a view built on the driver tables."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = spark.read.parquet(path).schema
+        # With a known schema no job has to open the file's footer first.
+        return spark.read.schema(_SCHEMAS[path]).parquet(path)
     text = VIEWS[name]
     inputs = {used: load(spark, sf_dir, used) for used in _inputs(text)}
     return spark.sql(text, **inputs)
