@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Bound of what counts as a number, far beyond any count or duration of interest.
+LARGEST = 1e12
+
 # Multiplying by 2**27 + 1 splits a double into two halves of at most 26 bits each.
 _SPLITTER = float(2**27 + 1)
 
@@ -59,8 +62,9 @@ def exact_mean(value: Column) -> Column:
 
 
 def coerce_number(value: Column) -> Column:
-    """Numeric value of a loosely typed column, NULL when it is not a number."""
-    return value.try_cast("double")
+    """Numeric value of a loosely typed column, NULL when it is not a finite number."""
+    number = value.try_cast("double")
+    return F.when(number.between(-LARGEST, LARGEST), number)
 
 
 def coerce_count(value: Column) -> Column:

@@ -7,7 +7,7 @@ non-merges of the head (the change log is landed that way).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.instants import elapsed_days, iso_instant, local_day
@@ -19,11 +19,11 @@ from codestrata.schemas import columns
 FILES_PER_REPOSITORY = 2000
 
 
-def is_merge():
+def is_merge() -> Column:
     return F.col("parent_count") >= 2
 
 
-def is_root():
+def is_root() -> Column:
     return F.col("parent_count") == 0
 
 

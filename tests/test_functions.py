@@ -67,8 +67,10 @@ def test_counts_are_digits_only(spark):
 
 
 def test_numbers_are_coerced(spark):
-    values = ["12", "1.5", "x", "", None, " 7 "]
-    assert evaluate(spark, numeric.coerce_number, values) == [12.0, 1.5, None, None, None, 7.0]
+    values = ["12", "1.5", "x", "", None, " 7 ", "NaN", "inf", "-3"]
+    assert evaluate(spark, numeric.coerce_number, values) == [
+        12.0, 1.5, None, None, None, 7.0, None, None, -3.0,
+    ]
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
@@ -199,7 +201,7 @@ def test_frameworks_are_found_in_one_pass(spark):
     values = [
         "import org.junit.Test;", "ORG.JUNIT org.mockitorg.testng", "xorg.aSSertj", "orgxjunit",
         "junit.framework spock.lang", "org.assert\u017f", "org.mocKito", "moc\u212aito",
-        "org.moc\u212aito org.a\u017f\u017fertj", "",
+        "org.moc\u212aito org.a\u017f\u017fertj", "\u017fpock.lang", "",
     ]
     for name, pattern in patterns.items():
         found = evaluate(

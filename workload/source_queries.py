@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.names import folder_of, repository_of, short_name
 from codestrata.operators import code, history
-from codestrata.plans.indicators import stack
+from codestrata.operators.ranking import first_per_key
+from codestrata.plans.indicators import align_key, stack
 from codestrata.session import shared_folder
-from codestrata.sinks.tables import normalise_key, write_csv
+from codestrata.sinks.tables import consolidate, normalise_key, write_csv
 from codestrata.sources import history_text, hosting, landed, trees
 from workload.code_queries import STRUCTURE, line_classes_sql
 from workload.history_queries import DEVELOPERS
@@ -264,6 +265,48 @@ def csv_round_trip(spark, sf_dir):
     return code.structure_summary(landed.scan_csv(spark, path, "structure"))
 
 
+@query(STRUCTURE, "v_structure")
+def consolidated_structure(spark, sf_dir):
+    database = f"consolidated_{uuid.uuid4().hex}"
+    spark.sql(f"create database {database} location '{shared_folder(spark)}/{database}'")
+    padded = F.concat(F.lit("\t"), "repository", F.lit(" "))
+    rows = load(spark, sf_dir, "v_structure").withColumn("repository", padded)
+    (table,) = consolidate(spark, {"structure": rows}, database)
+    return code.structure_summary(spark.table(table))
+
+
+@query(
+    """select repository, arg_min(stars, seq) as stars, arg_min(forks, seq) as forks from (
+          select full_name as repository, * from v_repository) r
+        group by repository""",
+    "v_repository",
+)
+def first_row_per_key(spark, sf_dir):
+    rows = align_key(load(spark, sf_dir, "v_repository"))
+    return first_per_key(rows.select("repository", "stars", "forks", "seq"), "repository", "seq")
+
+
+@query(
+    """select repository, count(*) as rows, count(file) as files from (
+          select repository, file from v_structure
+          union all select repository, file from v_source
+          union all select repository, null from v_commit) s
+        group by repository""",
+    "v_structure",
+    "v_source",
+    "v_commit",
+)
+def stacked_landings(spark, sf_dir):
+    landings = [
+        load(spark, sf_dir, "v_structure").select("repository", "file"),
+        load(spark, sf_dir, "v_source").select("file", "repository"),
+        load(spark, sf_dir, "v_commit").select("repository"),
+    ]
+    return stack(*landings).groupBy("repository").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("file").alias("files")
+    )
+
+
 @query("select distinct concat('o/', c_custkey) as repository from customer")
 def stripped_keys(spark, sf_dir):
     padded = F.concat(F.lit(" \t"), F.lit("o/"), "c_custkey", F.lit(" \n"))
