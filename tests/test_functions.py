@@ -78,6 +78,8 @@ def test_instants_do_not_depend_on_the_session_zone(spark, zone):
     values = [
         "2018-10-06T19:38:31+08:00", "2026-05-03T00:58:42Z", "2020-01-01T00:00:00",
         "2020-01-01 10:11:12.5", "2019-02-28T22:27:49-05:00", "2020-01-01",
+        "2020-01-01T10:11:12+0530", "2020-01-01T10:11:12-03", "2020-01-01T10:11:12.123456+05:30",
+        "2020-01-01T10:11", "2020-01-01T10:11Z",
     ]
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
@@ -95,7 +97,8 @@ def test_instants_do_not_depend_on_the_session_zone(spark, zone):
 
 
 def test_unparsable_instants_are_null(spark):
-    values = ["", "soon", None, "2018", "2018-13-40T00:00:00Z", "12:00"]
+    values = ["", "soon", None, "2018", "2018-13-40T00:00:00Z", "12:00", "T12:00Z",
+              "2018-10", "20181006T193831Z", "2018-10-06Tnoon"]
     assert evaluate(spark, instants.iso_instant, values) == [None] * len(values)
 
 
