@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.instants import elapsed_days, iso_instant
 from codestrata.functions.names import non_empty
-from codestrata.operators.ranking import top_per_key
+from codestrata.operators.ranking import first_per_key, top_per_key
 from codestrata.schemas import columns
+from codestrata.sources.trees import first_available
 
 # The search predicate, the sizes of the selection, and the
 # repositories used when the search yields too few.
@@ -79,8 +80,7 @@ def valid(repositories: DataFrame, as_of: str, language: str = LANGUAGE) -> Data
         & _written_in(language)
         & recently_pushed(as_of)
     )
-    first = top_per_key(usable, ["full_name"], [F.col("seq")], 1, ["seq"])
-    return first.drop("rank")
+    return top_per_key(usable, ["full_name"], [F.col("seq")], 1).drop("rank")
 
 
 def fallback_rows(
@@ -101,6 +101,14 @@ def fallback_rows(
     )
 
 
+def fallback_metadata(listed: DataFrame, placeholders: DataFrame) -> DataFrame:
+    """Placeholders in their order, with the first listed metadata of their name if any."""
+    wanted = listed.join(placeholders.select("full_name"), "full_name", "left_semi")
+    places = placeholders.select("full_name", "seq")
+    known = first_per_key(wanted, "full_name", "seq").join(places, "full_name")
+    return first_available(known.select(*placeholders.columns), placeholders, key="full_name")
+
+
 def select_repositories(
     found: DataFrame, fallback: DataFrame, as_of: str, n: int = SELECTION
 ) -> DataFrame:

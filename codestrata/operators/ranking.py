@@ -16,28 +16,29 @@ def top_per_key(
     keys: Sequence[str],
     order: Sequence[Column],
     n: int,
-    identity: Sequence[str],
+    identity: Sequence[str] = (),
     rank: str = "rank",
 ) -> DataFrame:
     """The first ``n`` rows of each key under ``order``, with their rank.
 
-    Ranking happens twice. Rows of a key are first spread over buckets by a hash of
-    ``identity`` (columns that vary within a key) and each bucket keeps ``n``; the
-    second ranking then sees at most ``SPREAD * n`` rows per key, however many the
-    key has. Spark pushes both limits below their shuffles. A row of the true top
-    ``n`` is in the top ``n`` of its bucket, so the result is exact.
+    Spark pushes the limit below the shuffle, so a key sends at most ``n`` rows per
+    task to its ranking. That is few for a small ``n``. For a larger one pass
+    ``identity``, columns that vary within a key: rows are then ranked in buckets by
+    their hash first, and the last ranking sees at most ``SPREAD * n`` rows of a key,
+    however many tasks there are. A row of the true top ``n`` is in the top ``n`` of its
+    bucket, so the result is exact either way.
     """
-    bucket = F.pmod(F.xxhash64(*identity), F.lit(SPREAD))
-    within_bucket = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    if identity:
+        bucket = F.pmod(F.xxhash64(*identity), F.lit(SPREAD))
+        within_bucket = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+        rows = (
+            rows.withColumn("_bucket", bucket)
+            .withColumn("_rank", F.row_number().over(within_bucket))
+            .filter(F.col("_rank") <= n)
+            .drop("_bucket", "_rank")
+        )
     within_key = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        rows.withColumn("_bucket", bucket)
-        .withColumn("_rank", F.row_number().over(within_bucket))
-        .filter(F.col("_rank") <= n)
-        .drop("_bucket", "_rank")
-        .withColumn(rank, F.row_number().over(within_key))
-        .filter(F.col(rank) <= n)
-    )
+    return rows.withColumn(rank, F.row_number().over(within_key)).filter(F.col(rank) <= n)
 
 
 def first_per_key(rows: DataFrame, key: str, sequence: str = "ingest_seq") -> DataFrame:
@@ -48,5 +49,5 @@ def first_per_key(rows: DataFrame, key: str, sequence: str = "ingest_seq") -> Da
     """
     others = [name for name in rows.columns if name not in (key, sequence)]
     order = [sequence, *others] if sequence in rows.columns else others
-    first = top_per_key(rows, [key], [F.col(name) for name in order], 1, others or [key])
+    first = top_per_key(rows, [key], [F.col(name) for name in order], 1)
     return first.drop("rank", sequence)

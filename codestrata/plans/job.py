@@ -1,6 +1,6 @@
 """End-to-end batch job: landed facts in, published tables and report views out.
 
-    spark-submit -m codestrata.plans.job --landed <dir> --published <dir>
+    python -m codestrata.plans.job --landed <dir> --published <dir>
 
 Every table is written before the next stage reads it. That keeps each plan short,
 computes each fact once, and lets a lost executor be recovered from the written table.
@@ -12,12 +12,14 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.operators import code, history
+from codestrata.operators import candidates, code, history
 from codestrata.operators.pull_requests import pull_request_facts
 from codestrata.plans import hotspots, indicators, report
 from codestrata.session import configured
-from codestrata.sinks.tables import consolidate, write_parquet
+from codestrata.sinks.tables import consolidate, write_parquet, write_repository_list
+from codestrata.sources.hosting import scan_repository_json
 from codestrata.sources.landed import scan_parquet
+from codestrata.sources.trees import first_available, parse_line_counts
 
 
 def run(spark: SparkSession, landed: str, published: str, database: str | None = None) -> dict:
@@ -43,7 +45,8 @@ def run(spark: SparkSession, landed: str, published: str, database: str | None =
     profile_path = f"{published}/_source_profile"
     code.source_profile(fact("source_file")).write.mode("overwrite").parquet(profile_path)
     profile = spark.read.parquet(profile_path)
-    publish("loc", code.line_classes(profile))
+    reported = parse_line_counts(fact("line_count_report"))
+    publish("loc", first_available(reported, code.line_classes(profile)))
     publish("tests", code.tests_summary(profile))
 
     mart = indicators.in_key_order(indicators.quality_indicators(tables))
@@ -58,6 +61,18 @@ def run(spark: SparkSession, landed: str, published: str, database: str | None =
     return tables
 
 
+def choose_repositories(spark: SparkSession, responses: str, published: str, as_of: str) -> None:
+    """Select the repositories to land facts of, from landed search responses.
+
+    Writes their metadata and the list of their names.
+    """
+    listed = scan_repository_json(spark, responses, "seq")
+    fallback = candidates.fallback_metadata(listed, candidates.fallback_rows(spark))
+    chosen = candidates.select_repositories(candidates.search(listed), fallback, as_of)
+    write_parquet(chosen, f"{published}/repositories", "repositories")
+    write_repository_list(chosen, f"{published}/repository_list")
+
+
 def report_views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     mart = tables["quality_indicators"]
     views = {

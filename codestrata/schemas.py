@@ -41,6 +41,7 @@ _FIELDS = {
     "source_file": "repository string, file string, text string",
     "raw_pull_request": """repository string, number long, state string, created_at string,
         closed_at string, merged_at string, author string, commits long""",
+    "line_count_report": "repository string, value string",
     # Published tables.
     "repositories": """full_name string, url string, stars long, forks long, open_issues long,
         language string, license string, pushed_at string, archived boolean,

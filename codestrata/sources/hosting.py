@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from codestrata.functions.names import non_empty, text_or_blank
 from codestrata.schemas import columns, struct
+from codestrata.sources.landed import position_in_source
 
 # Superset of the snake_case and camelCase shapes. ``license`` is either an object
 # or a plain string, so it is taken as text and told apart when normalised.
@@ -32,9 +33,18 @@ def _parse(lines: DataFrame, schema: StructType, keep: tuple[str, ...]) -> DataF
     return lines.select(record.alias("record"), *keep).select("record.*", *keep)
 
 
-def scan_repository_json(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line, either shape, normalised."""
-    return normalise_repository(spark.read.schema(REPOSITORY_JSON).json(path))
+def scan_repository_json(
+    spark: SparkSession, path: str, sequence: str | None = None
+) -> DataFrame:
+    """One JSON object per line, either shape, normalised.
+
+    ``sequence`` names an extra column holding the place of the object in its file.
+    """
+    raw = spark.read.schema(REPOSITORY_JSON).json(path)
+    if sequence is None:
+        return normalise_repository(raw)
+    placed = raw.select("*", position_in_source().alias(sequence))
+    return normalise_repository(placed, (sequence,))
 
 
 def parse_repository_json(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions.names import repository_of
-from codestrata.schemas import columns, struct
+from codestrata.schemas import struct
 
 REPLACEMENT = "\ufffd"
 
@@ -99,11 +99,11 @@ def parse_line_counts(reports: DataFrame) -> DataFrame:
 
 
 def first_available(*sources: DataFrame, key: str = "repository") -> DataFrame:
-    """Per key, the whole row of the first source that has one (``loc`` layout).
+    """Per key, the whole row of the first source that has one.
 
     Each source has at most one row per key, so the full joins are one to one.
     """
-    names = [name for name in columns("loc") if name != key]
+    names = [name for name in sources[0].columns if name != key]
     rows = [
         source.select(key, F.struct(*names).alias(f"row{position}"))
         for position, source in enumerate(sources)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from conftest import dicts
 from test_operators import CHANGE, COMMIT, COMMITS, RAW, REPOSITORY, repository
 
@@ -52,6 +54,40 @@ def test_job_publishes_every_table(spark, rows, tmp_path):
     assert spark.read.parquet(f"{published}/report/metric_series").count() == 15
 
 
+def test_reported_line_counts_come_first(spark, rows, tmp_path):
+    landed = tmp_path / "landed"
+    sources = rows(
+        "repository string, file string, text string", ("a/b", "X.java", "x"), ("c/d", "X.java", "y\nz")
+    )
+    sources.write.parquet(f"{landed}/source_file")
+    reports = rows(
+        "repository string, value string", ("a/b", '{"SUM": {"code": 70}}'), ("c/d", "{broken")
+    )
+    reports.write.parquet(f"{landed}/line_count_report")
+    tables = job.run(spark, str(landed), str(tmp_path / "published"))
+    assert {r["repository"]: r["code"] for r in tables["loc"].collect()} == {"a/b": 70, "c/d": 2}
+
+
+def test_choice_of_repositories(spark, tmp_path):
+    def response(name, stars, **other):
+        return {"full_name": name, "stargazers_count": stars, "forks_count": 2000, "language": "Java",
+                "pushed_at": "2026-05-01T00:00:00Z"} | other
+
+    responses = [response(f"o/r{i:02}", 6000 + i) for i in range(40)]
+    responses += [response("o/old", 9000, pushed_at="2001-01-01T00:00:00Z")]
+    file = tmp_path / "search.json"
+    file.write_text("\n".join(map(json.dumps, responses)))
+    job.choose_repositories(spark, str(file), str(tmp_path / "many"), "2026-06-01T00:00:00Z")
+    names = [row["value"] for row in spark.read.text(str(tmp_path / "many/repository_list")).collect()]
+    assert names == [f"o/r{i}" for i in range(39, 29, -1)]
+    assert spark.read.parquet(str(tmp_path / "many/repositories")).count() == 10
+
+    file.write_text("\n".join(map(json.dumps, [response("google/guava", 100), *responses[:3]])))
+    job.choose_repositories(spark, str(file), str(tmp_path / "few"), "2026-06-01T00:00:00Z")
+    found = spark.read.parquet(str(tmp_path / "few/repositories")).collect()
+    assert [(row["full_name"], row["stars"]) for row in found] == [("google/guava", 100)]
+
+
 def test_job_runs_on_nothing(spark, tmp_path):
     tables = job.run(spark, str(tmp_path / "landed"), str(tmp_path / "published"))
     assert all(frame.isEmpty() for frame in tables.values())

@@ -117,6 +117,8 @@ def test_top_per_key_limits_before_each_shuffle(spark):
     plan = top_per_key(frame, ["key"], [F.desc("id")], 5, ["id"])._jdf.queryExecution().toString()
     physical = plan.split("== Physical Plan ==")[1]
     assert physical.count("WindowGroupLimit") == 4
+    plain = top_per_key(frame, ["key"], [F.desc("id")], 1)._jdf.queryExecution().toString()
+    assert plain.split("== Physical Plan ==")[1].count("WindowGroupLimit") == 2
 
 
 def test_first_per_key(rows):
