@@ -107,7 +107,12 @@ def written_line_count(text: Column) -> Column:
 
 
 def is_test_file(path: Column) -> Column:
-    matches = F.contains(path, F.lit(TEST_FOLDER))
+    """Whether a repository-relative path is in a test folder or named like a test.
+
+    The folder mark starts with a slash, so the path gets one too: the test folder of a
+    repository with a single module is at its top.
+    """
+    matches = F.contains(F.concat(F.lit("/"), path), F.lit(TEST_FOLDER))
     for suffix in TEST_SUFFIXES:
         matches = matches | F.endswith(path, F.lit(suffix))
     return matches

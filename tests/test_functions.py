@@ -189,10 +189,10 @@ def test_test_annotation(spark):
 def test_test_files(spark):
     paths = [
         "a/src/test/X.java", "src/test/X.java", "XTest.java", "XTests.java", "Xtest.java",
-        "TestX.java", "a/src/tests/X.java", "Test.java.txt",
+        "TestX.java", "a/src/tests/X.java", "Test.java.txt", "mysrc/test/X.java",
     ]
     assert evaluate(spark, text.is_test_file, paths) == [
-        True, False, True, True, False, False, False, False,
+        True, True, True, True, False, False, False, False, False,
     ]
 
 

@@ -216,8 +216,8 @@ def test_structure_summary_counts_stated_parents(rows):
 def test_source_profile_counts_every_file(rows):
     sources = rows(
         "repository string, file string, text string",
-        ("a", "src/test/X.java", "import org.junit.Test;\n@Test @Test\n"),
-        ("a", "q/src/test/X.java", "import org.junit.Test;\n@Test @Test\n\n * @Test"),
+        ("a", "xsrc/test/X.java", "import org.junit.Test;\n@Test @Test\n"),
+        ("a", "src/test/X.java", "import org.junit.Test;\n@Test @Test\n\n * @Test"),
         ("a", "YTests.java", "spock.lang"), ("a", "Z.java", "org.mockito\n@Test\n// x\n"),
         ("a", "Empty.java", ""), ("a", "EmptyTest.java", ""), ("a", "BrokenTest.java", None),
         ("b", "Only.java", None),

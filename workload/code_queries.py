@@ -12,7 +12,7 @@ _SPACE = (
     _BREAKS + r"\t\x1f \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
 )
 
-_TEST_FILE = """(contains(file, '/src/test/') or ends_with(file, 'Test.java')
+_TEST_FILE = """(contains(concat('/', file), '/src/test/') or ends_with(file, 'Test.java')
     or ends_with(file, 'Tests.java'))"""
 
 

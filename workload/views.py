@@ -113,7 +113,9 @@ VIEWS = {
           c_custkey % 6 = 0 as archived, c_name as description, c_custkey as seq
         from {customer}""",
     "v_source": "select " + _PART_OWNED + """ as repository,
-          concat(case when p_partkey % 4 = 0 then 'a/src/test/' else 'a/src/main/' end,
+          concat(case when p_partkey % 8 = 0 then 'src/test/'
+              when p_partkey % 4 = 0 then 'a/src/test/'
+              when p_partkey % 16 = 1 then 'src/testing/' else 'a/src/main/' end,
             'C', p_partkey, case when p_partkey % 6 = 0 then 'Test.java'
               when p_partkey % 10 = 0 then 'Tests.java' else '.java' end) as file,
           case when p_partkey % 101 = 0 then '' else concat('package p;', chr(10),
