@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.names import non_empty
@@ -28,6 +28,8 @@ from codestrata.schemas import columns
 TYPE_PARAMETERS = r"<(?:[^<>{]|<(?:[^<>{]|<[^<>{]*>)*>)*>"
 MODIFIERS = r"(?:\b(?:public|protected|private|abstract|static|final)\s+)*"
 TYPE_DECLARATION = (
+    # First letters of the modifiers and kinds; anything else is passed over at once.
+    r"(?=[@acefips])(?:\b|(?=@))"
     rf"({MODIFIERS})(@interface|\b(?:class|interface|enum))\s+([A-Za-z_$][\w$]*)"
     rf"(?:\s*{TYPE_PARAMETERS})?"
     r"(?:\s+extends\s+([^{]+?))?(?:\s+implements\s+([^{]+?))?\s*\{"
@@ -158,13 +160,15 @@ def type_declarations(sources: DataFrame) -> DataFrame:
         ).alias("position", "declaration"),
     ).filter(F.col("position").isNotNull())
 
-    def part(group: int):
+    def part(group: int) -> Column:
         return F.regexp_extract("declaration", TYPE_DECLARATION, group)
 
-    def names(group: int):
-        bare = part(group)
+    def names(group: int) -> Column:
+        stated = part(group)
+        bare = stated
         for _ in range(GENERIC_DEPTH):
             bare = F.regexp_replace(bare, r"\s*<[^<>]*>", "")
+        bare = F.when(F.contains(stated, F.lit("<")), bare).otherwise(stated)
         return F.regexp_replace(F.trim(bare), r"\s*,\s*", ";")
 
     word = part(2)

@@ -7,7 +7,7 @@ import json
 import pytest
 from conftest import dicts
 
-from codestrata.operators import history
+from codestrata.operators import code, history
 from codestrata.schemas import SCHEMAS, columns
 from codestrata.session import shared_folder
 from codestrata.sinks import tables as sinks
@@ -317,5 +317,12 @@ def test_scans_push_filters_and_prune_columns(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(parent_count), LessThan(parent_count,2)]" in plan
     assert "ReadSchema: struct<repository:string,parent_count:int,author_name:string" in plan
     assert "committed_at_iso" not in plan.split("ReadSchema")[1].split("\n")[0]
+    sources = landed.scan_parquet(spark, path + "_none", "source_file")
+    assert sources.isEmpty()
+    sinks.write_parquet(sources, path + "_source", "source_file")
+    sources = landed.scan_parquet(spark, path + "_source", "source_file")
+    lines = code.line_classes(code.source_profile(sources))._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<repository:string,text:string>" in lines
+    assert "Test" not in lines.split("== Physical Plan ==")[1]
     ends = history.first_and_last_commit(commits)._jdf.queryExecution().toString()
     assert "Or(And(EqualTo(on_head,true),EqualTo(parent_count,0)),EqualTo(is_head,true))" in ends
