@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import lines, mixing, pieces, quality, sharding, tokens
+from codestrata.llm import lines, mixing, neighbours, pieces, quality, sharding, tokens, toxicity
 from codestrata.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.toxic_scores(docs, labels).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
@@ -66,6 +72,12 @@ def piece_digests() -> list:
     ]
 
 
+@query
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
