@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import lines, mixing, neighbours, pieces, quality, sharding, tokens, toxicity
+from codestrata.llm import (
+    lines, mixing, near_duplicates, neighbours, pieces, quality, sharding, tokens, toxicity,
+)
 from codestrata.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_limit(counts, 4096).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = near_duplicates.near_duplicates(docs, words=3, percent=85)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).select(
