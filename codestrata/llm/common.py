@@ -32,6 +32,11 @@ def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     )
 
 
+def own_id(column: Column) -> Column:
+    """The id with null turned to ``NO_ID``."""
+    return F.coalesce(column.cast("long"), F.lit(NO_ID))
+
+
 def real_id(column: str | Column) -> Column:
     """The id with ``NO_ID`` turned back to null."""
     return F.nullif(F.col(column) if isinstance(column, str) else column, F.lit(NO_ID))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import (
-    lines, mixing, near_duplicates, neighbours, pieces, quality, sharding, tokens, toxicity,
+    lines, mixing, near_duplicates, neighbours, pieces, quality, repeated_spans,
+    sharding, tokens, toxicity,
 )
 from codestrata.llm.common import table
 
@@ -50,6 +51,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(docs, labels).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeated_spans.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed",
+        F.size("begins").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
