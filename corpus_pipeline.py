@@ -1,8 +1,107 @@
-"""A corpus run: toxicity, line dedup, near duplicates, mixing, encoding."""
+"""A corpus run in stages: each reads what the one before it kept and wrote.
 
-STAGES = []
+Toxic documents go, repeated lines go, one document of each group of near duplicates
+stays, sources are mixed to their weights, and what is left is encoded.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codestrata.llm import common, lines, mixing, near_duplicates, pieces, toxicity
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+WEIGHTS = [5, 2, 1]
+# SQL has neither trained dictionaries nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose predicted label is not toxic; labels are learnt from, never looked up.
+
+    Equal texts have equal scores, so rows that repeat an id with several texts go together
+    when any of them is toxic. Rows without an id are judged as one document.
+    """
+    labels = common.table(spark, sf_dir, "labels")
+    scores = toxicity.toxic_scores(docs, labels)
+    toxic = scores.where("predicted = 1").select(F.col("id").alias("toxic_id")).distinct()
+    return docs.join(toxic.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("toxic_id")),
+                     "left_anti")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that many have; those left with no text at all go."""
+    report = common.fresh(docs.columns, "line_report")
+    cleaned = lines.drop_repeated_lines(docs, report=report)
+    emptied = (F.col(f"{report}.n_dropped") > 0) & (
+        F.btrim("text", F.lit(common.SPACES)) == ""
+    )
+    return cleaned.where(~emptied).select(
+        *[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c)
+          for c in docs.columns]
+    )
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates.
+
+    Words come in fives and the similarity is 0.8. All rows of a kept id stay.
+    """
+    found = near_duplicates.near_duplicates(docs, words=5, percent=80)
+    gone = found.where(~F.col("kept")).select(F.col("id").alias("gone_id")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone_id")),
+                     "left_anti")
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes, and none of the others.
+
+    Rows equal in id, source and text get the same number of copies, rounded up.
+    """
+    mix = mixing.mix(docs, WEIGHTS).where("taken > 0")
+    copies = mix.groupBy(
+        common.own_id(F.col("id")).alias("mix_id"), F.col("source").alias("mix_source"),
+        F.col("text_hash").alias("mix_text"),
+    ).agg(F.ceil(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("mix_copies"))
+    same = (
+        (common.own_id(F.col("doc_id")) == F.col("mix_id"))
+        & F.col("source").eqNullSafe(F.col("mix_source"))
+        & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("mix_text"))
+    )
+    taken = docs.join(copies.hint("shuffle_hash"), same)
+    repeated = taken.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), "mix_copies")))
+    return repeated.select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, with the digests that check them."""
+    rows = pieces.encode(docs)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("near_duplicates", one_of_each_group),
+    ("mixing", mixed_sources),
+    ("pieces", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.staged(stage(spark, docs, sf_dir), name)
+    return docs
