@@ -22,14 +22,14 @@ from codestrata.llm import common
 
 common.ship(__name__)
 
-LINES = 64
+LINES = 64  # fewer than 256
 # Share of the lines on which a vector must fall into the window to be verified.
 COLLISIONS = 0.6
 # A block's search ends when this share of its vectors is verified, and k at least.
 VERIFIED = 0.3
 # The first half-width of a window, as a share of a block's length, and its growth.
-WIDTH, GROWTH = 0.8, 1.15
-# Vectors, and queries, that meet in one task's step.
+WIDTH, GROWTH = 1.1, 1.15
+# Vectors (fewer than 65536), and queries, that meet in one task's step.
 BLOCK = 4096
 QUERY_BLOCK = 2048
 SEED = 29
@@ -45,8 +45,11 @@ class SortedLines:
         filled = np.sqrt(np.maximum(self.length**2 - squares, 0))
         self.lines = np.random.default_rng(seed).normal(size=(LINES, vectors.shape[1] + 1))
         places = self.lines @ np.column_stack([vectors, filled]).T
-        self.order = np.argsort(places, axis=1, kind="stable").astype(np.int32)
-        self.places = np.take_along_axis(places, self.order.astype(np.int64), axis=1)
+        order = np.argsort(places, axis=1, kind="stable")
+        self.places = np.take_along_axis(places, order, axis=1)
+        # Each vector's place in the sorted array of each line.
+        self.ranks = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.ranks, order, np.arange(len(ids), dtype=np.uint16)[None], axis=1)
 
     def centres(self, queries: np.ndarray) -> np.ndarray:
         """Places of queries, brought to the block's length, on each line."""
@@ -56,32 +59,24 @@ class SortedLines:
     def candidates(self, centres: np.ndarray, wanted: int) -> np.ndarray:
         """Rows found in the windows of enough lines, for each query: lists of rows."""
         found: list[np.ndarray | None] = [None] * centres.shape[1]
-        hits = [np.zeros(len(self.ids), np.int32) for _ in found]
-        needed = int(np.ceil(COLLISIONS * LINES))
-        low = np.stack([np.searchsorted(p, c) for p, c in zip(self.places, centres, strict=True)])
-        high, width = low.copy(), WIDTH * self.length
+        needed, width = int(np.ceil(COLLISIONS * LINES)), WIDTH * self.length
         while any(rows is None for rows in found):
-            lower = np.stack([np.searchsorted(p, c - width, "left")
-                              for p, c in zip(self.places, centres, strict=True)])
-            upper = np.stack([np.searchsorted(p, c + width, "right")
-                              for p, c in zip(self.places, centres, strict=True)])
+            lower, upper = (
+                np.stack([np.searchsorted(p, c + reach, side)
+                          for p, c in zip(self.places, centres, strict=True)])
+                for reach, side in ((-width, "left"), (width, "right"))
+            )
             for query, rows in enumerate(found):
                 if rows is not None:
                     continue
-                # Only what the wider windows add is counted.
-                parts = [
-                    part
-                    for line in range(LINES)
-                    for part in (self.order[line, lower[line, query] : low[line, query]],
-                                 self.order[line, high[line, query] : upper[line, query]])
-                ]
-                hits[query] += np.bincount(np.concatenate(parts), minlength=len(self.ids)).astype(
-                    np.int32
-                )
-                over = hits[query] >= needed
-                if over.sum() >= wanted:
+                # Ranks below the window wrap around to large numbers.
+                first = lower[:, query, None].astype(np.uint16)
+                span = (upper - lower)[:, query, None].astype(np.uint16)
+                hits = ((self.ranks - first) < span).sum(axis=0, dtype=np.uint8)
+                over = hits >= needed
+                if np.count_nonzero(over) >= wanted:
                     found[query] = np.flatnonzero(over)
-            low, high, width = lower, upper, width * GROWTH
+            width *= GROWTH
         return found
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
@@ -95,7 +90,7 @@ class SortedLines:
                 own = query_ids[begin + offset]
                 rows = rows[self.ids[rows] != own]
                 # Sums along rows are the same for equal vectors wherever they stand.
-                scores = (self.vectors[rows] * chunk[offset]).sum(axis=1)
+                scores = np.einsum("ij,j->i", self.vectors[rows], chunk[offset])
                 best = np.lexsort((self.ids[rows], -scores))[:k]
                 out[0].append(np.full(len(best), own))
                 out[1].append(self.ids[rows][best])
