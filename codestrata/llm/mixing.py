@@ -97,16 +97,35 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int) -> np
     words = int((lengths * counts).sum())
     if budget >= words:
         return counts.copy()
-    taken = counts * budget // max(words, 1)
+    spread = _filled(lengths, counts, counts * budget // max(words, 1), budget, limit)
+    missed = abs(budget - int((lengths * spread).sum()))
+    if not missed:
+        return spread
+    # Few and long texts may fit only if they come before the spread.
+    packed, rest = np.zeros_like(counts), budget
+    for i in np.flatnonzero(lengths > limit)[::-1]:
+        packed[i] = min(int(counts[i]), rest // int(lengths[i]))
+        rest -= int(packed[i] * lengths[i])
+    packed = _filled(lengths, counts, packed, budget, limit)
+    return packed if abs(budget - int((lengths * packed).sum())) < missed else spread
+
+
+def _filled(
+    lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, budget: int, limit: int
+) -> np.ndarray:
+    """Adds to what is taken: longest first while the rest is over the limit, then exactly."""
+    taken, longest = taken.copy(), np.argsort(-lengths, kind="stable")
     rest = budget - int((lengths * taken).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        # Longest first, one of each, until the dynamic program can hold the rest.
+    for i in longest:
+        # One of each, until the dynamic program can hold the rest.
         if rest > limit and lengths[i] <= rest - limit // 2 and taken[i] < counts[i]:
             taken[i] += 1
             rest -= int(lengths[i])
-    for i in np.argsort(-lengths, kind="stable"):
+    for i in longest:
         if rest > limit:
             more = min(int(counts[i] - taken[i]), max(0, rest - limit // 2) // int(lengths[i]))
+            if not more and lengths[i] <= rest and taken[i] < counts[i]:
+                more = 1
             taken[i] += more
             rest -= more * int(lengths[i])
     taken += knapsack(lengths, counts - taken, min(rest, limit))
