@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import sys
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ SPACES = " \t\n\x0b\f\r"
 WORD_GAPS = "[ \\t-\\r]+"
 # Stands for a null id, so that rows without one are treated as one, smallest id.
 NO_ID = -(2**63)
+# Edges that one task joins in memory.
+BLOCK_EDGES = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +75,8 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+ship(__name__)
+
 _stages: list[tuple[SparkSession, str]] = []
 
 
@@ -97,12 +103,13 @@ def _drop_stages() -> None:
             return
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40, block: int = BLOCK_EDGES) -> DataFrame:
     """Smallest reachable node of every node of ``edges(a, b)``: rows ``node, root``.
 
-    Alternates large-star and small-star steps. Each step joins every node to the smallest
-    neighbour it knows, so the number of steps grows with the logarithm of the longest
-    chain. Edges stay distributed; a step is written before the next one reads it.
+    Every round first joins the edges within blocks of bounded size and then takes a
+    large-star and a small-star step over all of them, so the number of rounds grows with
+    the logarithm of the longest chain. Edges stay distributed, and a round's result is
+    written before the next one reads it. What fits one block needs no further round.
     """
     edges = staged(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -112,32 +119,26 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     )
     state = _fingerprint(edges)
     for _ in range(rounds):
+        blocks = -(-state[0] // block)
+        joined = edges.coalesce(max(1, blocks)).mapInArrow(_join_blocks, "a long, b long")
+        edges = staged(joined, "joined")
+        if blocks <= 1:
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         low = low.select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = (
-            edges.select(F.col("a").alias("y"), F.col("b").alias("n"))
-            .join(low, "n")
-            .select(F.col("y").alias("a"), F.col("m").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        # Every node keeps its link to the smallest neighbour, which joins its stars.
-        large = staged(
-            large.unionByName(
-                low.where("n <> m").select(F.col("n").alias("a"), F.col("m").alias("b"))
-            ).distinct(),
-            "large",
+        # Larger neighbours move to the smallest one, and the node itself keeps its link.
+        large = edges.select(F.col("a").alias("y"), F.col("b").alias("n")).join(low, "n")
+        large = large.select(F.col("y").alias("a"), F.col("m").alias("b")).unionByName(
+            low.select(F.col("n").alias("a"), F.col("m").alias("b"))
         )
+        large = staged(large.where("a <> b").distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(least, "a")
-            .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
-                    F.col("m").alias("b"))
-            .where("a <> b")
-            .distinct()
+        first = F.col("b") == F.col("m")
+        small = large.join(least, "a").select(
+            F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")
         )
-        edges = staged(small, "small")
+        edges = staged(small.where("a <> b").distinct(), "small")
         now = _fingerprint(edges)
         if now == state:
             break
@@ -147,7 +148,35 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     stars = edges.groupBy("a").agg(F.min("b").alias("m"))
     members = stars.select(F.col("a").alias("node"), F.col("m").alias("root"))
     roots = stars.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct()
-    return members.unionByName(roots).distinct()
+    return members.unionByName(roots)
+
+
+def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars that connect what the edges of one block connect."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        links = [(x, root(x)) for x in parent if root(x) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([a for a, _ in links], pa.int64()),
+             pa.array([b for _, b in links], pa.int64())],
+            ["a", "b"],
+        )
+
+    for batch in batches:
+        for a, b in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        if len(parent) > 4 * BLOCK_EDGES:
+            yield stars()
+    yield stars()
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

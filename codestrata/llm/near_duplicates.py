@@ -209,6 +209,7 @@ def block_links(
     size = np.array([len(v) for v in values])
     kept = np.minimum(size, SKETCH)
     small, full = Postings([v[:SKETCH] for v in values]), Postings(values)
+    sketched = np.stack([padded(v) for v in values])
     found = []
     for row in range(len(nodes)):
         overlap = small.overlaps(row)
@@ -218,23 +219,36 @@ def block_links(
         if both:
             near &= blocks != blocks[row]
         mine = root(row)
-        open_rows = [x for x in np.flatnonzero(near) if root(x) != mine]
-        open_rows = [x for x in open_rows if estimate(values[row], values[x]) >= share]
-        if not open_rows:
+        open_rows = np.array([x for x in np.flatnonzero(near).tolist() if root(x) != mine], int)
+        if len(open_rows):
+            open_rows = open_rows[estimates(sketched[row], sketched[open_rows]) >= share]
+        if not len(open_rows):
             continue
-        common_values = full.overlaps(row)
-        for x in open_rows:
-            joint = int(common_values[x])
-            if 100 * joint >= percent * int(size[row] + size[x] - joint) and root(x) != root(row):
+        joint = full.overlaps(row)[open_rows]
+        similar = 100 * joint >= percent * (size[row] + size[open_rows] - joint)
+        for x in open_rows[similar].tolist():
+            if root(x) != root(row):
                 parent[root(x)] = root(row)
                 found.append((int(nodes[row]), int(nodes[x])))
     return found
 
 
-def estimate(left: np.ndarray, right: np.ndarray) -> float:
-    """Jaccard similarity estimated from the k smallest values of both sets together."""
-    union = np.union1d(left[:SKETCH], right[:SKETCH])[:SKETCH]
-    return float((np.isin(union, left[:SKETCH]) & np.isin(union, right[:SKETCH])).mean())
+def padded(values: np.ndarray) -> np.ndarray:
+    """The sketch of a sorted set, filled up with the largest number."""
+    sketch = np.full(SKETCH, np.iinfo(np.int64).max)
+    sketch[: min(len(values), SKETCH)] = values[:SKETCH]
+    return sketch
+
+
+def estimates(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Jaccard similarities estimated from the k smallest values of both sets together."""
+    merged = np.sort(np.concatenate([np.broadcast_to(sketch, others.shape), others], axis=1))
+    real = merged < np.iinfo(np.int64).max
+    again = np.zeros(merged.shape, bool)
+    again[:, 1:] = (merged[:, 1:] == merged[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~again, axis=1)
+    inside = rank <= SKETCH
+    return (again & inside).sum(axis=1) / np.minimum(rank[:, -1], SKETCH)
 
 
 def near_duplicates(

@@ -216,8 +216,9 @@ def test_neighbours_of_odd_vectors(spark):
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 99)], "a long, b long")
-    found = {row.node: row.root for row in common.components(edges).collect()}
-    assert set(found.values()) == {0, 99} and len(found) == 63
+    for block in (common.BLOCK_EDGES, 10):
+        found = {row.node: row.root for row in common.components(edges, block=block).collect()}
+        assert set(found.values()) == {0, 99} and len(found) == 63
 
 
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
