@@ -12,9 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Bound of what counts as a number, far beyond any count or duration of interest.
-LARGEST = 1e12
-
 # Multiplying by 2**27 + 1 splits a double into two halves of at most 26 bits each.
 _SPLITTER = float(2**27 + 1)
 
@@ -51,20 +48,19 @@ def ratio_or_zero(numerator: Column, denominator: Column, digits: int) -> Column
     return F.coalesce(round_exact(quotient, digits), F.lit(0.0))
 
 
-def exact_mean(value: Column) -> Column:
-    """Mean that does not depend on the order of summation.
+def decimal_mean(value: Column) -> Column:
+    """Mean to ten decimal places that does not depend on the order of summation.
 
-    Values are summed as whole millionths, so equal inputs give the same mean in any
-    partitioning, also when that mean lies on a rounding tie.
+    Values are summed as decimals, so equal inputs give the same mean in any partitioning.
+    What is too large for one (beyond 10**28) is left out, and a sum that is gives NULL.
     """
-    millionths = F.rint(value * 1_000_000).cast("long")
-    return F.sum(millionths) / (F.nullif(F.count(value), F.lit(0)) * 1_000_000)
+    return F.try_avg(value.try_cast("decimal(38,10)")).cast("double")
 
 
 def coerce_number(value: Column) -> Column:
     """Numeric value of a loosely typed column, NULL when it is not a finite number."""
     number = value.try_cast("double")
-    return F.when(number.between(-LARGEST, LARGEST), number)
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
 
 
 def coerce_count(value: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,17 +68,21 @@ def search(repositories: DataFrame, limit: int = CANDIDATES, **predicate) -> Dat
     return found.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def valid(repositories: DataFrame, as_of: str, language: str = LANGUAGE) -> DataFrame:
-    """Usable repositories; of several rows with one name, the first usable one.
-
-    Filters come before de-duplication: an unusable row must not hide a later one.
-    """
-    usable = repositories.filter(
+def is_usable(as_of: str, language: str = LANGUAGE) -> Column:
+    return (
         non_empty(F.col("full_name")).isNotNull()
         & _not_archived()
         & _written_in(language)
         & recently_pushed(as_of)
     )
+
+
+def valid(repositories: DataFrame, as_of: str, language: str = LANGUAGE) -> DataFrame:
+    """Usable repositories; of several rows with one name, the first usable one.
+
+    Filters come before de-duplication: an unusable row must not hide a later one.
+    """
+    usable = repositories.filter(is_usable(as_of, language))
     return top_per_key(usable, ["full_name"], [F.col("seq")], 1).drop("rank")
 
 
@@ -115,20 +118,30 @@ def select_repositories(
     """First ``n`` usable repositories in ``seq`` order.
 
     With fewer than ``n``, the usable fallback rows take their place, and with none
-    of those, the fallback as it is. Which set is used is decided inside the plan.
+    of those, the fallback as it is. Both inputs are read once: every row is tagged with
+    the sets it belongs to, each set is cut to ``n`` rows, and the choice is made among
+    those at most ``3 * n`` rows.
     """
-    tiers = [valid(found, as_of), valid(fallback, as_of), fallback]
-
-    def size_up_to(limit: int, rows: DataFrame) -> Column:
-        return rows.select("seq").limit(limit).agg(F.count(F.lit(1))).scalar()
-
+    rows = found.withColumn("spare", F.lit(False)).unionByName(
+        fallback.withColumn("spare", F.lit(True))
+    )
+    usable = F.coalesce(is_usable(as_of), F.lit(False))
+    # Unusable rows are never compared, so they need not meet under their name.
+    name = F.when(usable, F.col("full_name"))
+    apart = F.when(~usable, F.col("seq"))
+    first = F.row_number().over(Window.partitionBy("spare", name, apart).orderBy("seq")) == 1
+    sets = F.array(
+        F.when(usable & F.col("first") & ~F.col("spare"), F.lit(0)),
+        F.when(usable & F.col("first") & F.col("spare"), F.lit(1)),
+        F.when(F.col("spare"), F.lit(2)),
+    )
+    tagged = rows.withColumn("first", first).withColumn("tier", F.explode(F.array_compact(sets)))
+    cut = top_per_key(tagged, ["tier"], [F.col("seq")], n).drop("first", "spare", "rank")
+    every = Window.partitionBy(F.lit(0))
     chosen = (
-        F.when(size_up_to(n, tiers[0]) >= n, F.lit(0))
-        .when(size_up_to(1, tiers[1]) > 0, F.lit(1))
+        F.when(F.count_if(F.col("tier") == 0).over(every) >= n, F.lit(0))
+        .when(F.count_if(F.col("tier") == 1).over(every) > 0, F.lit(1))
         .otherwise(F.lit(2))
     )
-    tagged = reduce(
-        DataFrame.unionByName,
-        (rows.withColumn("tier", F.lit(number)) for number, rows in enumerate(tiers)),
-    )
-    return tagged.filter(F.col("tier") == chosen).drop("tier").orderBy("seq").limit(n)
+    kept = cut.withColumn("chosen", chosen).where(F.col("tier") == F.col("chosen"))
+    return kept.drop("tier", "chosen").orderBy("seq")

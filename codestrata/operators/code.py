@@ -24,20 +24,15 @@ from codestrata.functions.text import (
 )
 from codestrata.schemas import columns
 
-# Type parameters, nested up to three deep, so that they end before the header goes on.
-TYPE_PARAMETERS = r"<(?:[^<>{]|<(?:[^<>{]|<[^<>{]*>)*>)*>"
-MODIFIERS = r"(?:\b(?:public|protected|private|abstract|static|final)\s+)*"
-TYPE_DECLARATION = (
-    # First letters of the modifiers and kinds; anything else is passed over at once.
-    r"(?=[@acefips])(?:\b|(?=@))"
-    rf"({MODIFIERS})(@interface|\b(?:class|interface|enum))\s+([A-Za-z_$][\w$]*)"
-    rf"(?:\s*{TYPE_PARAMETERS})?"
-    r"(?:\s+extends\s+([^{]+?))?(?:\s+implements\s+([^{]+?))?\s*\{"
+_MODIFIER = "(?:public|protected|private|abstract|static|final) "
+# For a header: what precedes an opening brace, in single spaces and without type arguments.
+# A search never starts within a run of modifiers, and what is repeated gives nothing back,
+# so the time it takes grows with the length of the header alone.
+TYPE_HEADER = (
+    rf"(?<!{_MODIFIER})((?:{_MODIFIER})*+)(@interface|\b(?:class|interface|enum))"
+    r" ([A-Za-z_$][\w$]*+) ?(?:(?<= )extends (.+?))?(?:(?<= )implements (.+))?\{\z"
 )
 
-# Type arguments are removed from the inside out, this many levels deep.
-GENERIC_DEPTH = 4
-
 
 def file_complexity(methods: DataFrame) -> DataFrame:
     return methods.groupBy("repository", "file").agg(F.avg("ccn").alias("avg_ccn"))
@@ -155,21 +150,14 @@ def type_declarations(sources: DataFrame) -> DataFrame:
         "repository",
         "file",
         # The outer form is not preceded by a filter that would search the text twice.
-        F.posexplode_outer(
-            F.regexp_extract_all(code_only(F.col("text")), F.lit(TYPE_DECLARATION), F.lit(0))
-        ).alias("position", "declaration"),
+        F.posexplode_outer(type_headers(code_only(F.col("text")))).alias("position", "header"),
     ).filter(F.col("position").isNotNull())
 
     def part(group: int) -> Column:
-        return F.regexp_extract("declaration", TYPE_DECLARATION, group)
+        return F.regexp_extract("header", TYPE_HEADER, group)
 
     def names(group: int) -> Column:
-        stated = part(group)
-        bare = stated
-        for _ in range(GENERIC_DEPTH):
-            bare = F.regexp_replace(bare, r"\s*<[^<>]*>", "")
-        bare = F.when(F.contains(stated, F.lit("<")), bare).otherwise(stated)
-        return F.regexp_replace(F.trim(bare), r"\s*,\s*", ";")
+        return F.regexp_replace(F.trim(part(group)), r" ?, ?", ";")
 
     word = part(2)
     kind = F.when(word.isin("interface", "enum"), word).otherwise("class")
@@ -179,13 +167,59 @@ def type_declarations(sources: DataFrame) -> DataFrame:
         "position",
         part(3).alias("type_name"),
         kind.alias("kind"),
-        F.rlike(part(1), F.lit(r"\babstract\b")).alias("is_abstract"),
+        F.contains(part(1), F.lit("abstract ")).alias("is_abstract"),
         (word == "interface").alias("is_interface"),
         names(4).alias("extends"),
         names(5).alias("implements"),
     )
 
 
+def type_headers(code: Column) -> Column:
+    """Headers of the type declarations of a code text, in order.
+
+    The text is cut at braces and semicolons first, so that no pattern runs on through the
+    rest of it.
+    """
+    ended = F.split(F.replace(code, F.lit("{"), F.lit("{;")), "[;}]")
+    headers = F.filter(
+        ended,
+        lambda part: F.endswith(part, F.lit("{"))
+        & (F.contains(part, F.lit("class")) | F.contains(part, F.lit("interface"))
+           | F.contains(part, F.lit("enum"))),
+    )
+    plain = F.transform(
+        headers, lambda part: F.regexp_replace(without_type_arguments(part), r"\s++", " ")
+    )
+    return F.filter(plain, lambda part: F.rlike(part, F.lit(TYPE_HEADER)))
+
+
+def without_type_arguments(header: Column) -> Column:
+    """A header without what stands in angle brackets, however deep they are nested.
+
+    Empty where a bracket is left open.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+
+    def step(state: Column, piece: Column) -> Column:
+        opens, closes = (F.startswith(piece, F.lit(mark)) for mark in "<>")
+        depth = (
+            F.when(opens, state["depth"] + 1)
+            .when(closes, F.greatest(state["depth"] - 1, F.lit(0)))
+            .otherwise(state["depth"])
+        )
+        text = F.when(closes, F.substr(piece, F.lit(2))).otherwise(piece)
+        kept = F.when(depth == 0, F.concat(state["kept"], F.lit(" "), text))
+        return F.struct(depth.alias("depth"), F.coalesce(kept, state["kept"]).alias("kept"))
+
+    pieces = F.split(header, "(?=[<>])")
+    stripped = F.aggregate(
+        pieces, start, step, lambda state: F.when(state["depth"] == 0, state["kept"])
+    )
+    return F.when(
+        F.contains(header, F.lit("<")) | F.contains(header, F.lit(">")), F.coalesce(stripped, F.lit(""))
+    ).otherwise(header)
+
+
 def file_decision_points(sources: DataFrame) -> DataFrame:
     """Decision points and written lines per file: file level, not per method."""
     return sources.select(

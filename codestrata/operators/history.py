@@ -15,9 +15,6 @@ from codestrata.functions.names import text_or_blank
 from codestrata.operators.ranking import top_per_key
 from codestrata.schemas import columns
 
-# Fixed value: files kept per repository.
-FILES_PER_REPOSITORY = 2000
-
 
 def is_merge() -> Column:
     return F.col("parent_count") >= 2
@@ -57,14 +54,16 @@ def commit_summary(commits: DataFrame) -> DataFrame:
 
 def first_and_last_commit(commits: DataFrame) -> DataFrame:
     """Text of the oldest root commit of the head and of the head commit itself."""
-    root = F.col("on_head") & is_root()
     iso = F.col("committed_at_iso")
+    root = F.col("on_head") & is_root()
+    # A root whose date cannot be read is not the oldest one.
+    readable = root & iso_instant(iso).isNotNull()
     dated = F.struct(iso_instant(iso).alias("instant"), iso.alias("iso"))
     return (
         commits.filter(root | F.col("is_head"))
         .groupBy("repository")
         .agg(
-            F.min(F.when(root, dated))["iso"].alias("first_commit"),
+            F.min(F.when(readable, dated))["iso"].alias("first_commit"),
             F.max(F.when(F.col("is_head"), iso)).alias("last_commit"),
         )
     )
@@ -93,11 +92,16 @@ def file_churn(changes: DataFrame) -> DataFrame:
     )
 
 
-def most_changed_files(churn: DataFrame, n: int = FILES_PER_REPOSITORY) -> DataFrame:
+def changed_files(churn: DataFrame) -> DataFrame:
+    """Every file with its churn, as ``files`` rows."""
+    return churn.select(*columns("files"))
+
+
+def most_changed_files(churn: DataFrame, n: int) -> DataFrame:
     """The ``n`` most changed files per repository, ties by first appearance.
 
-    This limit is part of the result, not a saving: a complex but rarely changed file
-    beyond it is no hotspot candidate.
+    A report, not a step before other analyses: a complex but rarely changed file beyond
+    the limit would be lost to them.
     """
     order = [F.desc("commits"), F.asc("first_seen"), F.asc("file")]
     return top_per_key(churn, ["repository"], order, n, ["file"]).select(*columns("files"))

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.instants import elapsed_hours, iso_instant
 from codestrata.functions.names import non_empty, text_or_blank
-from codestrata.functions.numeric import coerce_number, exact_mean, round_exact, round_scaled
+from codestrata.functions.numeric import coerce_number, decimal_mean, round_exact, round_scaled
 from codestrata.operators.ranking import top_per_key
 from codestrata.schemas import columns
 
-# Newest pull requests kept per repository, and how many of those
-# have their commits counted.
-NEWEST = 300
-COUNTED = 150
-
 
 def derived_state() -> Column:
     return F.when(non_empty(F.col("merged_at")).isNotNull(), "merged").otherwise(F.col("state"))
@@ -28,22 +23,31 @@ def hours_to_close() -> Column:
 
 
 def pull_request_facts(
-    raw: DataFrame, newest: int = NEWEST, counted: int = COUNTED
+    raw: DataFrame, newest: int | None = None, counted: int | None = None
 ) -> DataFrame:
-    """The newest pull requests of each repository.
+    """Pull requests with their state and hours; all of them unless limits are given.
 
-    Commit counts beyond the first ``counted`` are NULL. That changes the mean, so
-    both limits are part of the result.
+    ``newest`` keeps so many per repository and ``counted`` keeps the commit counts of so
+    many. Both change every mean taken afterwards, so no analysis sets them.
     """
-    order = [F.desc_nulls_last("created"), F.desc("number")]
-    dated = raw.withColumn("created", iso_instant(F.col("created_at")))
-    kept = top_per_key(dated, ["repository"], order, newest, ["number"])
+    commits = F.col("commits")
+    kept = raw
+    if newest is not None or counted is not None:
+        order = [F.desc_nulls_last("created"), F.desc("number")]
+        dated = raw.withColumn("created", iso_instant(F.col("created_at")))
+        if newest is not None:
+            kept = top_per_key(dated, ["repository"], order, newest, ["number"])
+        else:
+            place = F.row_number().over(Window.partitionBy("repository").orderBy(*order))
+            kept = dated.withColumn("rank", place)
+        if counted is not None:
+            commits = F.when(F.col("rank") <= counted, commits)
     derived = {
         "state": derived_state(),
         "closed_at": text_or_blank(F.col("closed_at")),
         "merged_at": text_or_blank(F.col("merged_at")),
         "hours_to_close": hours_to_close(),
-        "commits": F.when(F.col("rank") <= counted, F.col("commits")),
+        "commits": commits,
     }
     return kept.select(
         *(derived.get(name, F.col(name)).alias(name) for name in columns("pull_requests"))
@@ -54,7 +58,7 @@ def pull_request_health(pull_requests: DataFrame) -> DataFrame:
     """Open and closed counts and means; a mean without any number is NULL."""
 
     def mean(name: str) -> Column:
-        return round_scaled(exact_mean(coerce_number(F.col(name))), 2)
+        return round_scaled(decimal_mean(coerce_number(F.col(name))), 2)
 
     return pull_requests.groupBy("repository").agg(
         F.count_if(F.col("state") == "open").alias("pr_open"),

@@ -18,7 +18,7 @@ from codestrata.schemas import columns
 ACTIVE_DAY_WEIGHT = 5
 
 # Tables whose keys make a repository known. Files, pull requests and methods do not.
-KEY_TABLES = ("repositories", "commits", "developers", "loc", "tests", "structure")
+KEY_TABLES = ("repositories", "commits", "developers", "loc", "tests", "profile", "structure")
 
 # Column that marks a table as landed row by row, with its place in the file.
 SEQUENCE = "ingest_seq"
@@ -56,15 +56,27 @@ def activity_score(weight: int = ACTIVE_DAY_WEIGHT) -> Column:
 def _measures(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Every table reduced to at most one row per repository.
 
-    Of the tables that are looked up by key, one read in file order carries a sequence
-    column and keeps its first row per key; one without is unique by construction.
+    Tables that are looked up by key keep their first row per key, by the sequence column
+    where they carry one. A ``profile`` stands for ``loc`` and ``tests`` at once, so the
+    source texts behind it are read once.
     """
 
     def first(table: str, *names: str) -> DataFrame:
         rows = tables[table]
-        if SEQUENCE not in rows.columns:
-            return rows.select("repository", *names)
-        return first_per_key(rows.select("repository", *names, SEQUENCE), "repository")
+        order = [SEQUENCE] if SEQUENCE in rows.columns else []
+        return first_per_key(rows.select("repository", *names, *order), "repository")
+
+    if "profile" in tables:
+        sources = {
+            "profile": first("profile", "code", "test_methods").withColumnRenamed(
+                "code", "total_loc"
+            )
+        }
+    else:
+        sources = {
+            "loc": first("loc", "code").withColumnRenamed("code", "total_loc"),
+            "tests": first("tests", "test_methods"),
+        }
 
     health = pull_request_health(tables["pull_requests"])
     return {
@@ -73,8 +85,7 @@ def _measures(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
             "distinct_active_days", "active_days"
         ),
         "developers": contribution_share(tables["developers"]),
-        "loc": first("loc", "code").withColumnRenamed("code", "total_loc"),
-        "tests": first("tests", "test_methods"),
+        **sources,
         "structure": structure_summary(tables["structure"]),
         "complexity": complexity_summary(tables["complexity"]),
         "pull_requests": health.withColumn("has_pull_requests", F.lit(1)),

@@ -1,6 +1,7 @@
 """End-to-end batch job: landed facts in, published tables and report views out.
 
-    python -m codestrata.plans.job --landed <dir> --published <dir>
+    python -m codestrata.plans.job --landed <dir> --published <dir> [--csv]
+    python -m codestrata.plans.job --choose <responses> --as-of <instant> --published <dir>
 
 Every table is written before the next stage reads it. That keeps each plan short,
 computes each fact once, and lets a lost executor be recovered from the written table.
@@ -14,20 +15,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codestrata.operators import candidates, code, history
 from codestrata.operators.pull_requests import pull_request_facts
+from codestrata.operators.ranking import first_per_key
 from codestrata.plans import hotspots, indicators, report
 from codestrata.session import configured
 from codestrata.sinks.tables import consolidate, write_parquet, write_repository_list
 from codestrata.sources.hosting import scan_repository_json
-from codestrata.sources.landed import scan_parquet
+from codestrata.sources.landed import scan_csv, scan_parquet
 from codestrata.sources.trees import first_available, parse_line_counts
 
 
-def run(spark: SparkSession, landed: str, published: str, database: str | None = None) -> dict:
-    """Build everything and return the published tables by name."""
+def run(
+    spark: SparkSession, landed: str, published: str, database: str | None = None,
+    csv: bool = False,
+) -> dict:
+    """Build everything and return the published tables by name.
+
+    Facts are read from ``<landed>/<table>`` as Parquet, or from ``<landed>/<table>.csv``.
+    """
     tables: dict[str, DataFrame] = {}
 
-    def fact(name: str) -> DataFrame:
-        return scan_parquet(spark, f"{landed}/{name}", name)
+    def fact(name: str, sequence: str | None = None) -> DataFrame:
+        scan = scan_csv if csv else scan_parquet
+        return scan(spark, f"{landed}/{name}" + ".csv" * csv, name, sequence)
 
     def publish(name: str, rows: DataFrame) -> None:
         write_parquet(rows, f"{published}/{name}", name)
@@ -38,18 +47,21 @@ def run(spark: SparkSession, landed: str, published: str, database: str | None =
     commits = fact("commit")
     publish("commits", history.commit_summary(commits))
     publish("developers", history.developer_commits(commits))
-    publish("files", history.most_changed_files(history.file_churn(fact("file_change"))))
+    publish("files", history.changed_files(history.file_churn(fact("file_change"))))
     publish("pull_requests", pull_request_facts(fact("raw_pull_request")))
 
     # Sources are by far the largest input and feed two tables: read them once.
     profile_path = f"{published}/_source_profile"
     code.source_profile(fact("source_file")).write.mode("overwrite").parquet(profile_path)
     profile = spark.read.parquet(profile_path)
-    reported = parse_line_counts(fact("line_count_report"))
+    reports = fact("line_count_report", indicators.SEQUENCE)
+    reported = first_per_key(parse_line_counts(reports, (indicators.SEQUENCE,)), "repository")
     publish("loc", first_available(reported, code.line_classes(profile)))
     publish("tests", code.tests_summary(profile))
 
-    mart = indicators.in_key_order(indicators.quality_indicators(tables))
+    # Metadata may hold a repository twice: the mart keeps the first row as it was landed.
+    looked_up = tables | {"repositories": fact("repositories", indicators.SEQUENCE)}
+    mart = indicators.in_key_order(indicators.quality_indicators(looked_up))
     publish("quality_indicators", mart)
     scores = hotspots.hotspot_scores(tables["files"], tables["complexity"])
     publish("hotspots", hotspots.top_hotspots(scores))
@@ -90,11 +102,21 @@ def report_views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("--landed", required=True)
     parser.add_argument("--published", required=True)
+    parser.add_argument("--landed", help="folder of the base facts")
+    parser.add_argument("--csv", action="store_true", help="the facts are CSV files")
     parser.add_argument("--database")
+    parser.add_argument("--choose", metavar="RESPONSES", help="select repositories instead")
+    parser.add_argument("--as-of", help="instant that pushes are dated from, for --choose")
     options = parser.parse_args()
-    run(configured(), options.landed, options.published, options.database)
+    if options.choose:
+        if not options.as_of:
+            parser.error("--choose needs --as-of")
+        choose_repositories(configured(), options.choose, options.published, options.as_of)
+    elif options.landed:
+        run(configured(), options.landed, options.published, options.database, options.csv)
+    else:
+        parser.error("--landed or --choose is needed")
 
 
 if __name__ == "__main__":

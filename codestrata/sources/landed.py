@@ -15,7 +15,7 @@ MULTILINE_TABLES = frozenset({"repositories"})
 
 
 def position_in_source() -> Column:
-    """Long that increases with the position of a row in its file.
+    """Long that increases with the position of a row in a file of text lines.
 
     A split holds fewer rows than bytes, so its byte offset plus the running row
     number of the task stays below the offset of the next split.
@@ -52,11 +52,21 @@ def scan_csv(
 def scan_parquet(
     spark: SparkSession, path: str, table: str, sequence: str | None = None
 ) -> DataFrame:
+    """Read one table; ``sequence`` names an extra column that orders rows as they lie.
+
+    It holds the file and the row's number in it: encoded rows may take less than a byte,
+    so byte offsets do not tell their order.
+    """
     reader = spark.read.schema(SCHEMAS[table])
-    return _scan(lambda: reader.parquet(path), spark, table, sequence)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    )
+    return _scan(lambda: reader.parquet(path), spark, table, sequence, place)
 
 
-def _scan(read, spark: SparkSession, table: str, sequence: str | None) -> DataFrame:
+def _scan(
+    read, spark: SparkSession, table: str, sequence: str | None, place: Column | None = None
+) -> DataFrame:
     try:
         rows = read()
     except AnalysisException as missing:
@@ -66,7 +76,8 @@ def _scan(read, spark: SparkSession, table: str, sequence: str | None) -> DataFr
         return rows if sequence is None else rows.withColumn(sequence, F.lit(0).cast("long"))
     if sequence is None:
         return rows
-    return rows.select(*columns(table), position_in_source().alias(sequence))
+    place = position_in_source() if place is None else place
+    return rows.select(*columns(table), place.alias(sequence))
 
 
 def scan_repository_list(spark: SparkSession, path: str) -> DataFrame:

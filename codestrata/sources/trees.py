@@ -75,10 +75,11 @@ def discover_repositories(paths: DataFrame, root: str) -> DataFrame:
     )
 
 
-def parse_line_counts(reports: DataFrame) -> DataFrame:
+def parse_line_counts(reports: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``loc`` rows of counter reports (``repository, value``); broken JSON is dropped."""
     parsed = reports.select(
         "repository",
+        *keep,
         F.from_json(
             "value", LINE_COUNT_JSON, {"columnNameOfCorruptRecord": "unreadable"}
         ).alias("report"),
@@ -95,6 +96,7 @@ def parse_line_counts(reports: DataFrame) -> DataFrame:
             F.coalesce(F.col(f"report.{source}"), F.lit(0)).alias(name)
             for name, source in fields.items()
         ),
+        *keep,
     )
 
 

@@ -49,11 +49,11 @@ def test_ratio_of_nothing_is_zero(spark):
     assert [row[0] for row in frame.select(ratio).collect()] == [0.0, 0.3333, 0.0]
 
 
-def test_exact_mean_does_not_depend_on_order(spark):
+def test_decimal_mean_does_not_depend_on_order(spark):
     values = [(x / 100,) for x in random.Random(1).sample(range(10**7), 999)] + [(None,)]
     forward = spark.createDataFrame(values, "v double").repartition(7)
     backward = spark.createDataFrame(values[::-1], "v double").coalesce(1)
-    mean = numeric.exact_mean(F.col("v"))
+    mean = numeric.decimal_mean(F.col("v"))
     left, right = (frame.select(mean).first()[0] for frame in (forward, backward))
     assert left == right == pytest.approx(np.mean([v for (v,) in values[:-1]]))
     assert spark.createDataFrame([(None,)], "v double").select(mean).first()[0] is None

@@ -47,7 +47,7 @@ def test_published_schemas(rows, spark):
     published = {
         "commits": history.commit_summary(commits),
         "developers": history.developer_commits(commits),
-        "files": history.most_changed_files(history.file_churn(changes)),
+        "files": history.changed_files(history.file_churn(changes)),
         "pull_requests": pull_requests.pull_request_facts(empty_table(spark, "raw_pull_request")),
         "loc": code.line_classes(profile),
         "tests": code.tests_summary(profile),

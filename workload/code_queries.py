@@ -175,6 +175,17 @@ def type_declarations(spark, sf_dir):
     return code.type_declarations(load(spark, sf_dir, "v_source"))
 
 
+@query(
+    """select repository, file, cast(0 as int) as position,
+          replace(replace(file, '.java', ''), 'doc', 'D') as type_name, 'class' as kind,
+          true as is_abstract, false as is_interface, 'Base' as extends, 'I;J' as implements
+        from v_declaring_document""",
+    "v_declaring_document",
+)
+def document_type_declarations(spark, sf_dir):
+    return code.type_declarations(load(spark, sf_dir, "v_declaring_document"))
+
+
 def _decisions(view: str) -> str:
     decision = r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?"
     return f"""

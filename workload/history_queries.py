@@ -10,7 +10,7 @@ from codestrata.plans import hotspots as plan
 from workload.registry import query
 from workload.views import load
 
-# The published limit never cuts on these tables; this one does at every scale.
+# Files of each repository in the report of the most changed ones.
 FILES_KEPT = 100
 
 _CHURN = """
@@ -28,7 +28,7 @@ _FILES = f"""
 _SCORES = f"""
     select f.repository, f.file, f.commits, coalesce(m.avg_ccn, 0.0) as avg_ccn,
       f.commits * coalesce(m.avg_ccn, 0.0) as hotspot_score
-    from ({_FILES}) f left join (
+    from ({_CHURN}) f left join (
       select repository, file, avg(ccn) as avg_ccn from v_method
       group by repository, file) m
     on f.repository = m.repository and f.file = m.file"""
@@ -38,13 +38,9 @@ def _top(n: int) -> str:
     return f"select * from ({_SCORES}) s order by hotspot_score desc, repository, file limit {n}"
 
 
-def _files(spark, sf_dir):
-    churn = history.file_churn(load(spark, sf_dir, "v_file_change"))
-    return history.most_changed_files(churn, FILES_KEPT)
-
-
 def _scores(spark, sf_dir):
-    return plan.hotspot_scores(_files(spark, sf_dir), load(spark, sf_dir, "v_method"))
+    files = history.changed_files(history.file_churn(load(spark, sf_dir, "v_file_change")))
+    return plan.hotspot_scores(files, load(spark, sf_dir, "v_method"))
 
 
 @query(_top(500), "v_file_change", "v_method")
@@ -69,21 +65,23 @@ def file_churn(spark, sf_dir):
 
 @query(_FILES, "v_file_change")
 def file_churn_topk(spark, sf_dir):
-    return _files(spark, sf_dir)
+    churn = history.file_churn(load(spark, sf_dir, "v_file_change"))
+    return history.most_changed_files(churn, FILES_KEPT)
 
 
 COMMIT_SUMMARY = """
     select repository, total_commits, coalesce(first_commit, '') as first_commit,
       coalesce(last_commit, '') as last_commit,
-      coalesce(cast(floor((epoch(cast(last_commit as timestamptz))
-        - epoch(cast(first_commit as timestamptz))) / 86400) as int), 0) as span_days,
+      coalesce(cast(floor((epoch(try_cast(last_commit as timestamptz))
+        - epoch(try_cast(first_commit as timestamptz))) / 86400) as int), 0) as span_days,
       distinct_active_days
     from (
       select repository, count(*) filter (where on_head) as total_commits,
         arg_min(committed_at_iso, concat(
-          lpad(cast(cast(epoch(cast(committed_at_iso as timestamptz)) as bigint) as varchar),
+          lpad(cast(cast(epoch(try_cast(committed_at_iso as timestamptz)) as bigint) as varchar),
                12, '0'), committed_at_iso))
-          filter (where on_head and parent_count = 0) as first_commit,
+          filter (where on_head and parent_count = 0
+            and try_cast(committed_at_iso as timestamptz) is not null) as first_commit,
         max(committed_at_iso) filter (where is_head) as last_commit,
         cast(count(distinct substring(committed_at_iso, 1, 10))
           filter (where on_head) as int) as distinct_active_days

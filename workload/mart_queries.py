@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from codestrata.operators import code, history
+from codestrata.operators import history
 from codestrata.plans import indicators, report
 from workload.code_queries import STRUCTURE, TESTS, line_classes_sql, profile
 from workload.history_queries import COMMIT_SUMMARY, COMPLEXITY, DEVELOPERS, RISK, SHARE
@@ -16,10 +14,9 @@ _VIEWS = (
     "v_repository", "v_commit", "v_source", "v_structure", "v_method", "v_pull_request",
 )
 
-_NAMED = "(select * from v_repository where full_name <> '') named"
 _KEYS = f"""
     select distinct repository from (
-      select full_name as repository from {_NAMED}
+      select full_name as repository from v_repository
       union all select repository from v_commit
       union all select repository from v_source
       union all select repository from v_structure) k"""
@@ -45,7 +42,7 @@ _COLLAPSED = f"""
     left join (select * from (
         select full_name, stars, forks,
           row_number() over (partition by full_name order by seq) as place
-        from {_NAMED}) o where place = 1) r on k.repository = r.full_name
+        from v_repository) o where place = 1) r on k.repository = r.full_name
     left join ({COMMIT_SUMMARY}) c on k.repository = c.repository
     left join ({SHARE}) d on k.repository = d.repository
     left join ({line_classes_sql("v_source")}) l on k.repository = l.repository
@@ -68,14 +65,13 @@ MART = f"""
 
 def tables(spark, sf_dir):
     commits = load(spark, sf_dir, "v_commit")
-    files = profile(spark, sf_dir)
-    named = load(spark, sf_dir, "v_repository").filter(F.col("full_name") != "")
     return {
-        "repositories": named.withColumnRenamed("seq", "ingest_seq"),
+        "repositories": load(spark, sf_dir, "v_repository").withColumnRenamed(
+            "seq", "ingest_seq"
+        ),
         "commits": history.commit_summary(commits),
         "developers": history.developer_commits(commits),
-        "loc": code.line_classes(files),
-        "tests": code.tests_summary(files),
+        "profile": profile(spark, sf_dir),
         "structure": load(spark, sf_dir, "v_structure"),
         "complexity": load(spark, sf_dir, "v_method"),
         "pull_requests": facts(spark, sf_dir),
@@ -89,7 +85,7 @@ def mart(spark, sf_dir):
 @query(_KEYS, *_VIEWS)
 def repository_keys(spark, sf_dir):
     landed = tables(spark, sf_dir)
-    return indicators.known_repositories(*(landed[name] for name in indicators.KEY_TABLES))
+    return indicators.known_repositories(*(landed[name] for name in indicators.KEY_TABLES if name in landed))
 
 
 @query(MART + " order by repository", *_VIEWS)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from codestrata.operators import candidates
 from codestrata.operators.pull_requests import (
     derived_state,
@@ -11,10 +9,10 @@ from codestrata.operators.pull_requests import (
     pull_request_facts,
     pull_request_health,
 )
-from workload.registry import micro_mean, query, rounded
+from workload.registry import mean, query, rounded
 from workload.views import AS_OF, load
 
-# The published limits would not cut at the smallest scales.
+# Limits that cut at the smallest scales; only ``pr_facts`` shows them.
 NEWEST, COUNTED = 60, 40
 
 _HOURS = rounded(
@@ -24,26 +22,30 @@ _HOURS = rounded(
 )
 _ENDED = "coalesce(nullif(closed_at, ''), nullif(merged_at, ''))"
 
-FACTS = f"""
+def _facts(newest: int | str, counted: int | str) -> str:
+    return f"""
     select repository, number, state, created_at, closed_at, merged_at,
       case when ended is not null then {_HOURS} end as hours_to_close,
-      case when place <= {COUNTED} then commits end as commits, author
+      case when place <= {counted} then commits end as commits, author
     from (select repository, number, created_at, closed_at, merged_at, commits, author,
             case when merged_at <> '' then 'merged' else state end as state,
             {_ENDED} as ended,
             row_number() over (partition by repository
               order by epoch_us(cast(created_at as timestamptz)) desc, number desc) as place
           from v_pull_request) ranked
-    where place <= {NEWEST}"""
+    where place <= {newest}"""
+
+
+FACTS = _facts("place", "place")
 
 
 def facts(spark, sf_dir):
-    return pull_request_facts(load(spark, sf_dir, "v_pull_request"), NEWEST, COUNTED)
+    return pull_request_facts(load(spark, sf_dir, "v_pull_request"))
 
 
-@query(FACTS, "v_pull_request")
+@query(_facts(NEWEST, COUNTED), "v_pull_request")
 def pr_facts(spark, sf_dir):
-    return facts(spark, sf_dir)
+    return pull_request_facts(load(spark, sf_dir, "v_pull_request"), NEWEST, COUNTED)
 
 
 @query(
@@ -65,8 +67,8 @@ def pr_state_and_hours(spark, sf_dir):
 HEALTH = f"""
     select repository, count(*) filter (where state = 'open') as pr_open,
       count(*) filter (where state in ('closed', 'merged')) as pr_closed,
-      {micro_mean("commits")} as avg_commits_per_pr,
-      {micro_mean("hours_to_close")} as avg_pr_close_hours
+      {mean("commits")} as avg_commits_per_pr,
+      {mean("hours_to_close")} as avg_pr_close_hours
     from ({FACTS}) f group by repository"""
 
 
@@ -123,12 +125,11 @@ def _selected(found: str, fallback: str, n: int) -> str:
       order by seq limit {n}"""
 
 
-_SPARE = f"select {_FIELDS}, seq from v_repository where full_name <> '' and stars < 4600"
+_SPARE = f"select {_FIELDS}, seq from v_repository"
 
 
 def _spare(spark, sf_dir):
-    rows = load(spark, sf_dir, "v_repository")
-    return rows.filter((F.col("full_name") != "") & (F.col("stars") < 4600))
+    return load(spark, sf_dir, "v_repository")
 
 
 @query(_selected(_SEARCH, _SPARE, 5), "v_repository")

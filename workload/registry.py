@@ -31,7 +31,6 @@ def rounded(value: str, digits: int) -> str:
     return f"cast(printf('%.{digits}f', {value}) as double)"
 
 
-def micro_mean(value: str) -> str:
-    """SQL for a mean that is independent of summation order, to two places."""
-    total = f"sum(cast(round(cast({value} as double) * 1000000) as bigint))"
-    return f"round_even(cast({total} as double) / (nullif(count({value}), 0) * 1000000), 2)"
+def mean(value: str) -> str:
+    """SQL for a mean to two places."""
+    return f"round_even(avg({value}), 2)"

@@ -201,18 +201,15 @@ def line_count_reports(spark, sf_dir):
                            "java_comment", "java_blank")
           )}
         from ({_REPORTED}) r full join (
-          select * replace (concat('o/', split_part(repository, '/', 1)) as repository)
-          from ({line_classes_sql("v_source")}) l where ends_with(repository, '/BUILDING')) s
+          select *
+          from ({line_classes_sql("v_part_source")}) l) s
         on r.repository = s.repository""",
-    "v_source",
+    "v_part_source",
 )
 def line_count_choice(spark, sf_dir):
     name = F.concat(F.lit("o/"), "c_custkey")
     reported = trees.parse_line_counts(_reports(spark, sf_dir, name))
-    sources = load(spark, sf_dir, "v_source").filter(F.endswith("repository", F.lit("/BUILDING")))
-    counted = code.line_classes(code.source_profile(sources)).withColumn(
-        "repository", F.concat(F.lit("o/"), F.substring_index("repository", "/", 1))
-    )
+    counted = code.line_classes(code.source_profile(load(spark, sf_dir, "v_part_source")))
     return trees.first_available(reported, counted)
 
 

@@ -25,7 +25,7 @@ AS_OF = "2026-06-01T00:00:00Z"
 
 VIEWS = {
     # Every order is a commit of its customer. Offsets vary so that local days and
-    # instants disagree.
+    # instants disagree, and some dates cannot be read.
     "v_order_commit": f"""
         select {_OWNED} as repository, o_orderkey, c_custkey, o_orderpriority,
           cast(cast(o_orderdate as date) as string) as day,
@@ -39,8 +39,9 @@ VIEWS = {
                when c.o_orderkey % 50 = 0 then 0 else 1 end as parent_count,
           concat('dev ', c.c_custkey) as author_name,
           concat('dev', c.c_custkey, '@example.org') as author_email,
-          concat(c.day, 'T23:00:00', case c.o_orderkey % 3 when 0 then '-05:00'
-            when 1 then '+08:00' else '+00:00' end) as committed_at_iso,
+          case when c.o_orderkey % 400 = 0 then concat(c.day, ' undated') else
+            concat(c.day, 'T23:00:00', case c.o_orderkey % 3 when 0 then '-05:00'
+              when 1 then '+08:00' else '+00:00' end) end as committed_at_iso,
           c.on_head, h.moment is not null as is_head
         from {v_order_commit} c left join (
           select repository, max(moment) as moment from {v_order_commit}
@@ -59,9 +60,8 @@ VIEWS = {
           l_linenumber as ccn, cast(l_quantity as int) * 7 as tokens,
           l_linenumber % 4 as parameters, cast(l_quantity as int) + 2 as length
         from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey
-          join {{customer}} on o_custkey = c_custkey
-        where l_returnflag = 'A'""",
-    # One repository has no commit counts at all, one has no pull requests, and closing
+          join {{customer}} on o_custkey = c_custkey""",
+    # One repository has no commit counts at all, some counts are very large, and closing
     # times are sometimes only known as merge times.
     "v_pull_request": f"""
         select repository, number, state, created_at,
@@ -78,12 +78,12 @@ VIEWS = {
             case when shipped is null then '' else
               concat(cast(cast(shipped as date) as string), 'T16:30:',
                 lpad(cast(o_orderkey % 53 as string), 2, '0'), '+02:00') end as ended_at,
-            concat('dev', c_custkey) as author, lines as commits
+            concat('dev', c_custkey) as author,
+            case when o_orderkey % 1500 = 0 then 3000000000000 else lines end as commits
           from {{orders}} join {{customer}} on o_custkey = c_custkey
             left join (select l_orderkey, count(*) as lines, max(l_shipdate) as shipped
                        from {{lineitem}} group by l_orderkey) l on o_orderkey = l_orderkey
-        ) pr
-        where repository <> '4/MACHINERY'""",
+        ) pr""",
     "v_structure": f"""
         select {_PART_OWNED} as repository, concat('T', p_partkey, '.java') as file,
           concat('T', p_partkey) as type_name,
@@ -138,6 +138,16 @@ VIEWS = {
               else '@Tests @TestFactory @Test' end,
             case when p_partkey % 9 = 0 then '' else chr(10) end) end as text
         from {part}""",
+    # Whole documents with a type declaration after them.
+    "v_declaring_document": """
+        select repository, file, concat(replace(text, chr(39), ' '), chr(10), ';abstract class ',
+          replace(replace(file, '.java', ''), 'doc', 'D'), '<T> extends Base<', repository,
+          '> implements I, J<K> {{') as text
+        from {v_document}""",
+    # The same sources under the names that line-count reports use.
+    "v_part_source": """
+        select concat('o/', split_part(repository, '/', 1)) as repository, file, text
+        from {v_source}""",
     # Whole documents as source files: much text, several languages, no mercy.
     "v_document": """
         select source as repository, concat('doc', doc_id, '.java') as file, text
