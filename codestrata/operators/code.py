@@ -95,7 +95,7 @@ def source_profile(sources: DataFrame) -> DataFrame:
     frameworks = (
         F.coalesce(F.bool_or(first & names_framework(F.col("mentions"), name)), F.lit(False))
         .alias(name)
-        for name in sorted(TEST_FRAMEWORKS)
+        for name in TEST_FRAMEWORKS
     )
     return lines.groupBy("repository").agg(
         F.count_if(first).alias("files"),
@@ -119,7 +119,7 @@ def line_classes(profile: DataFrame) -> DataFrame:
 
 def tests_summary(profile: DataFrame) -> DataFrame:
     """``tests`` rows of a source profile, with the frameworks in use by name."""
-    in_use = F.array(*(F.when(F.col(name), F.lit(name)) for name in sorted(TEST_FRAMEWORKS)))
+    in_use = F.array(*(F.when(F.col(name), F.lit(name)) for name in TEST_FRAMEWORKS))
     return profile.withColumns(
         {
             "test_to_main_ratio": ratio_or_zero(F.col("test_loc"), F.col("main_loc"), 4),

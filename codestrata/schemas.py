@@ -32,6 +32,7 @@ def struct(fields: str, **nested: DataType) -> StructType:
     return StructType(flat + [StructField(name, kind) for name, kind in nested.items()])
 
 
+# The tables and their columns.
 _FIELDS = {
     # Base facts landed by the collectors.
     "commit": """repository string, sha string, parent_count int, author_name string,
@@ -76,7 +77,7 @@ _FIELDS = {
 
 SCHEMAS: dict[str, StructType] = {name: struct(fields) for name, fields in _FIELDS.items()}
 
-# Tables a consolidation publishes, in publication order.
+# Tables a consolidation publishes, in publication order.
 PUBLISHED = (
     "repositories", "commits", "developers", "files", "pull_requests", "loc",
     "structure", "complexity", "tests", "quality_indicators", "hotspots",

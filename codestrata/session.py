@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 
 from pyspark.sql import SparkSession
 
 # Settings, not code, decide sizes on a cluster: AQE coalesces and splits shuffle
-# partitions from measured bytes and only broadcasts a join side whose measured
-# size is below the threshold, so nothing here grows with the data.
+# partitions from measured bytes. A first plan may broadcast a side whose files are
+# estimated below the threshold; later ones go by measured sizes.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -34,12 +34,27 @@ def configured(builder: SparkSession.Builder | None = None, **overrides: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for tables written between stages.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back
-    to a folder of its own machine.
+    A cluster names it in ``spark.checkpoint.dir``; without it the folder is one of the
+    warehouse, which all executors reach as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="codestrata-")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages").rstrip("/")
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when this process ends; until then results may read it."""
+    _temporary.append((spark, path))
+
+
+_temporary: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove() -> None:
+    for spark, path in _temporary:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            files.delete(target, True)
+        except Exception:  # noqa: BLE001 - the session may already be gone
+            return

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codestrata.functions.names import repository_of, strip
 from codestrata.functions.numeric import coerce_count
 from codestrata.functions.text import line_slots, with_line_feeds
+from codestrata.schemas import columns
 from codestrata.sources.landed import position_in_source
 
 # The marker in front of each commit id, the number of tab-separated
@@ -22,6 +23,37 @@ def repository_from_file_name() -> Column:
     return repository_of(F.regexp_extract(F.col("_metadata.file_name"), r"\A(.+?)(\.\w+)?\z", 1))
 
 
+# Fixed value: what separates the fields of a landed commit line.
+FIELD_MARK = "\x1f"
+
+
+def scan_commit_log(spark: SparkSession, every: str, head: str) -> DataFrame:
+    """``commit`` facts of two landed logs: all commits, and those the head reaches.
+
+    A line of the first holds repository, commit id, parent ids, author name and address,
+    commit date and references, and one of the second repository and commit id, with
+    ``FIELD_MARK`` between them.
+    """
+
+    def fields(path: str, *names: str) -> DataFrame:
+        parts = F.split("value", FIELD_MARK)
+        rows = spark.read.text(path).filter(F.size(parts) >= len(names))
+        return rows.select(*(parts[i].alias(name) for i, name in enumerate(names)))
+
+    commits = fields(every, "repository", "sha", "parents", "author_name", "author_email",
+                     "committed_at_iso", "refs")
+    reached = fields(head, "repository", "sha").distinct().withColumn("on_head", F.lit(True))
+    parents = F.filter(F.split("parents", " "), lambda parent: parent != "")
+    facts = {
+        "parent_count": F.size(parents),
+        "on_head": F.coalesce("on_head", F.lit(False)),
+        "is_head": F.rlike("refs", F.lit(r"(?:\A|, )HEAD(?: ->|,|\z)")),
+    }
+    return commits.join(reached, ["repository", "sha"], "left").select(
+        *(facts.get(name, F.col(name)).alias(name) for name in columns("commit"))
+    )
+
+
 def scan_change_log(spark: SparkSession, path: str) -> DataFrame:
     """``file_change`` facts of change logs, one file per repository.
 

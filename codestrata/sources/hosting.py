@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from codestrata.functions.names import non_empty, text_or_blank
 from codestrata.schemas import columns, struct
@@ -12,39 +12,61 @@ from codestrata.sources.landed import position_in_source
 
 # Superset of the snake_case and camelCase shapes. ``license`` is either an object
 # or a plain string, so it is taken as text and told apart when normalised.
-REPOSITORY_JSON = struct(
-    """full_name string, fullName string, html_url string, url string,
+_REPOSITORY = """full_name string, fullName string, html_url string, url string,
     stargazers_count long, stargazersCount long, forks_count long, forksCount long,
     open_issues_count long, language string, license string, pushed_at string,
     pushedAt string, archived boolean, isArchived boolean, description string"""
-)
+# A record that cannot be read ends up in ``unreadable`` and is left out.
+REPOSITORY_JSON = struct(f"{_REPOSITORY}, unreadable string", items=ArrayType(struct(_REPOSITORY)))
+_UNREADABLE = {"columnNameOfCorruptRecord": "unreadable"}
+# Fixed bound: results in one landed search response.
+RESULTS_PER_RESPONSE = 1 << 20
 
 PULL_REQUEST_JSON = struct(
     """repository string, number long, state string, created_at string, closed_at string,
-    merged_at string, link string, items long""",
+    merged_at string, link string, items long, unreadable string""",
     user=struct("login string"),
 )
 
+# Fixed value: the last page in a pagination header.
 LAST_PAGE = r'[?&]page=(\d+)>; rel="last"'
 
 
 def _parse(lines: DataFrame, schema: StructType, keep: tuple[str, ...]) -> DataFrame:
-    record = F.from_json("value", schema)
-    return lines.select(record.alias("record"), *keep).select("record.*", *keep)
+    record = F.from_json("value", schema, _UNREADABLE)
+    return _readable(lines.select(record.alias("record"), *keep).select("record.*", *keep))
+
+
+def _readable(records: DataFrame) -> DataFrame:
+    return records.filter(F.col("unreadable").isNull())
+
+
+def _results(records: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Records as they are, and the results of search responses in their place.
+
+    The place of a result is that of its response, shifted to make room, plus its number.
+    """
+    fields = [field for field in records.columns if field not in ("items", "unreadable", *keep)]
+    alone = F.array(F.struct(*fields))
+    results = F.coalesce("items", alone)
+    placed = records.select(*keep, F.posexplode(results).alias("number", "result"))
+    shifted = (
+        (F.col(name) * RESULTS_PER_RESPONSE + F.col("number")).alias(name) for name in keep
+    )
+    return placed.select("result.*", *shifted)
 
 
 def scan_repository_json(
     spark: SparkSession, path: str, sequence: str | None = None
 ) -> DataFrame:
-    """One JSON object per line, either shape, normalised.
+    """One JSON object per line, either shape or a search response, normalised.
 
-    ``sequence`` names an extra column holding the place of the object in its file.
+    ``sequence`` names an extra column that orders the repositories as they lie.
     """
-    raw = spark.read.schema(REPOSITORY_JSON).json(path)
-    if sequence is None:
-        return normalise_repository(raw)
-    placed = raw.select("*", position_in_source().alias(sequence))
-    return normalise_repository(placed, (sequence,))
+    raw = spark.read.schema(REPOSITORY_JSON).options(**_UNREADABLE).json(path)
+    keep = () if sequence is None else (sequence,)
+    placed = raw.select("*", *(position_in_source().alias(name) for name in keep))
+    return normalise_repository(_results(_readable(placed), keep), keep)
 
 
 def parse_repository_json(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -77,7 +99,8 @@ def normalise_repository(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
 
 
 def scan_pull_request_json(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_pull_request(spark.read.schema(PULL_REQUEST_JSON).json(path))
+    raw = spark.read.schema(PULL_REQUEST_JSON).options(**_UNREADABLE).json(path)
+    return flatten_pull_request(_readable(raw))
 
 
 def parse_pull_request_json(lines: DataFrame) -> DataFrame:

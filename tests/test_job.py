@@ -8,6 +8,7 @@ from conftest import dicts
 from test_operators import CHANGE, COMMIT, COMMITS, RAW, REPOSITORY, repository
 
 from codestrata.plans import job
+from codestrata.sinks.tables import write_csv
 
 
 def test_job_publishes_every_table(spark, rows, tmp_path):
@@ -92,3 +93,27 @@ def test_job_runs_on_nothing(spark, tmp_path):
     tables = job.run(spark, str(tmp_path / "landed"), str(tmp_path / "published"))
     assert all(frame.isEmpty() for frame in tables.values())
     assert "concentration_risk" in tables["quality_indicators"].columns
+
+
+def test_job_keeps_the_first_of_duplicate_rows(spark, rows, tmp_path):
+    landed = tmp_path / "landed"
+    listed = [("a/b", 10, 1), ("a/b", 5, 9), ("c/d", 1, 2)]
+    metadata = [(name, "u", stars, forks, 0, "Java", "", "", False, "") for name, stars, forks in listed]
+    fields = ", ".join(REPOSITORY.split(", ")[:10])
+    rows(fields, *metadata).coalesce(1).write.parquet(f"{landed}/repositories")
+    reports = [("a/b", '{"SUM": {"code": 7, "nFiles": 9}}'), ("a/b", '{"SUM": {"code": 70}}')]
+    rows("repository string, value string", *reports).coalesce(1).write.parquet(
+        f"{landed}/line_count_report"
+    )
+    tables = job.run(spark, str(landed), str(tmp_path / "published"))
+    mart = dicts(tables["quality_indicators"], "repository")
+    assert (mart["a/b"]["stars"], mart["a/b"]["forks"], mart["a/b"]["total_loc"]) == (10, 1, 7)
+    (counts,) = tables["loc"].collect()
+    assert (counts["files"], counts["code"]) == (9, 7)
+
+
+def test_job_reads_csv(spark, rows, tmp_path):
+    landed = tmp_path / "landed"
+    write_csv(rows(COMMIT, *COMMITS), f"{landed}/commit.csv", "commit")
+    tables = job.run(spark, str(landed), str(tmp_path / "published"), csv=True)
+    assert dicts(tables["commits"], "repository")["a/b"]["total_commits"] == 5

@@ -7,11 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from codestrata.functions.names import folder_of, repository_of, short_name
-from codestrata.operators import code, history
+from codestrata.operators import candidates, code, history
 from codestrata.operators.ranking import first_per_key
 from codestrata.plans.indicators import align_key, stack
-from codestrata.session import shared_folder
-from codestrata.sinks.tables import consolidate, normalise_key, write_csv
+from codestrata.session import remove_at_exit, shared_folder
+from codestrata.sinks.tables import (
+    consolidate,
+    normalise_key,
+    write_csv,
+    write_nothing,
+    write_repository_list,
+)
 from codestrata.sources import history_text, hosting, landed, trees
 from workload.code_queries import STRUCTURE, line_classes_sql
 from workload.history_queries import DEVELOPERS
@@ -255,9 +261,108 @@ def source_files(spark, sf_dir):
     return trees.parse_source_files(stack(tree, hidden), "/data/repos")
 
 
+def temporary_folder(spark, name):
+    """A folder of its own in the shared one, removed when the process ends."""
+    path = f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    return path
+
+
+@query(
+    """select 'header only' as sink, cast(0 as bigint) as rows, count(*) as landed
+        from v_structure union all
+        select 'with rows', count(*), count(*) from v_structure""",
+    "v_structure",
+)
+def header_only_output(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_structure")
+    empty, full = (temporary_folder(spark, "header_only") for _ in range(2))
+    write_nothing(spark, empty, "structure")
+    write_csv(rows, full, "structure")
+    landed_rows = rows.agg(F.count(F.lit(1)).alias("landed"))
+    counts = stack(*(
+        landed.scan_csv(spark, path, "structure")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .select(F.lit(sink).alias("sink"), "rows")
+        for sink, path in (("header only", empty), ("with rows", full))
+    ))
+    return counts.withColumn("landed", landed_rows.scalar())
+
+
+@query(
+    """select full_name as repository from v_repository
+        where lower(language) = 'java' and stars > 5000 and forks > 1000 and not archived
+          and trim(full_name) <> ''
+        order by stars desc, full_name, seq limit 30""",
+    "v_repository",
+)
+def name_list(spark, sf_dir):
+    path = temporary_folder(spark, "name_list")
+    rows = load(spark, sf_dir, "v_repository").filter(F.col("full_name") != "")
+    write_repository_list(candidates.search(rows).orderBy("seq"), path)
+    return landed.scan_repository_list(spark, path).select("repository")
+
+
+@query(
+    """select repository, number, state, created_at, closed_at, merged_at, author, commits
+        from v_pull_request""",
+    "v_pull_request",
+)
+def pull_request_files(spark, sf_dir):
+    """Raw pull requests written as JSON lines and read back by their reader."""
+    path = temporary_folder(spark, "pull_request_files")
+    rows = load(spark, sf_dir, "v_pull_request")
+    rows.select(
+        "repository", "number", "state", "created_at", "closed_at", "merged_at",
+        F.struct(F.col("author").alias("login")).alias("user"), F.col("commits").alias("items"),
+    ).write.json(path)
+    return hosting.scan_pull_request_json(spark, path).select(
+        "repository", "number", "state", "created_at", "closed_at", "merged_at", "author",
+        "commits",
+    )
+
+
+@query(
+    """select full_name, stars, forks, archived from v_repository where full_name <> ''""",
+    "v_repository",
+)
+def search_envelopes(spark, sf_dir):
+    """Search responses with many results each, written as JSON and read back."""
+    path = temporary_folder(spark, "search_envelopes")
+    item = F.struct(
+        "full_name", F.col("stars").alias("stargazers_count"), F.col("forks").alias("forks_count"),
+        "archived",
+    )
+    rows = load(spark, sf_dir, "v_repository").filter(F.col("full_name") != "")
+    pages = rows.groupBy((F.col("seq") % 40).alias("page")).agg(
+        F.count(F.lit(1)).alias("total_count"), F.collect_list(item).alias("items")
+    )
+    pages.drop("page").write.json(path)
+    found = hosting.scan_repository_json(spark, path, "seq")
+    return found.select("full_name", "stars", "forks", "archived")
+
+
+@query(
+    """select repository, sha, parent_count, author_name, author_email, committed_at_iso,
+          on_head, is_head from v_commit""",
+    "v_commit",
+)
+def commit_log(spark, sf_dir):
+    """Commit logs written as text and read back as commit facts."""
+    every, head = (temporary_folder(spark, "commit_log") for _ in range(2))
+    commits = load(spark, sf_dir, "v_commit")
+    parents = F.array_join(F.array_repeat(F.lit("p"), F.col("parent_count")), " ")
+    refs = F.when(F.col("is_head"), F.lit("HEAD -> main")).otherwise(F.lit(""))
+    line = F.concat_ws("\x1f", "repository", "sha", parents, "author_name", "author_email",
+                       "committed_at_iso", refs)
+    commits.select(line).write.text(every)
+    commits.filter("on_head").select(F.concat_ws("\x1f", "repository", "sha")).write.text(head)
+    return history_text.scan_commit_log(spark, every, head)
+
+
 @query(STRUCTURE, "v_structure")
 def csv_round_trip(spark, sf_dir):
-    path = f"{shared_folder(spark)}/csv_round_trip/{uuid.uuid4().hex}"
+    path = temporary_folder(spark, "csv_round_trip")
     write_csv(load(spark, sf_dir, "v_structure"), path, "structure")
     return code.structure_summary(landed.scan_csv(spark, path, "structure"))
 
@@ -265,7 +370,8 @@ def csv_round_trip(spark, sf_dir):
 @query(STRUCTURE, "v_structure")
 def consolidated_structure(spark, sf_dir):
     database = f"consolidated_{uuid.uuid4().hex}"
-    spark.sql(f"create database {database} location '{shared_folder(spark)}/{database}'")
+    place = temporary_folder(spark, database)
+    spark.sql(f"create database {database} location '{place}'")
     padded = F.concat(F.lit("\t"), "repository", F.lit(" "))
     rows = load(spark, sf_dir, "v_structure").withColumn("repository", padded)
     (table,) = consolidate(spark, {"structure": rows}, database)
