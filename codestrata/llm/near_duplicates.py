@@ -34,7 +34,7 @@ DEVIATIONS = 5.0
 # Documents, and bytes of their sets, in one block of a cluster.
 BLOCK_ROWS = 512
 BLOCK_BYTES = 16 << 20
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def least_share(percent: int, k: int = SKETCH) -> float:

@@ -22,7 +22,7 @@ common.ship(__name__)
 common.ship("codestrata.llm.tokens")
 
 # Bytes of text that are encoded together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 # A text that is normalised as a whole is encoded in blocks of about as many bytes.
 BLOCK_BYTES = 1 << 16
 _MARK = MARK.encode()

@@ -32,7 +32,7 @@ common.ship("codestrata.llm.tokens")
 
 # Documents of either label, and the bytes of the longest of them, in the training sample.
 TOXIC_DOCUMENTS = 1500
-ORDINARY_DOCUMENTS = 6000
+ORDINARY_DOCUMENTS = 4000
 SAMPLE_TEXT_BYTES = 1 << 15
 DICTIONARY_BYTES = 1 << 13
 CARRIER_BYTES = 24
@@ -48,7 +48,7 @@ ROUNDS = 1
 CONFUSED_WINDOWS = 1000
 # Words whose lengths a task remembers.
 REMEMBERED = 1 << 19
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 EDGES = "\"'()*+,-./:;<=>?[]_`{|}~!#$%&@^\\"
 
 
@@ -170,7 +170,8 @@ def _dictionary(counts: Counter, size: int) -> bytes:
 
     content = _joined([word for word, _ in counts.most_common()[::-1]])
     if len(content) > size:
-        flat = sorted(counts.elements())
+        # Beyond a certain number a window is learnt anyway.
+        flat = sorted(Counter({word: min(n, 300) for word, n in counts.items()}).elements())
         random.Random(size).shuffle(flat)
         samples = [_joined(flat[i : i + 8]) for i in range(0, len(flat), 8)]
         try:
