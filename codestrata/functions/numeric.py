@@ -49,12 +49,14 @@ def ratio_or_zero(numerator: Column, denominator: Column, digits: int) -> Column
 
 
 def decimal_mean(value: Column) -> Column:
-    """Mean to ten decimal places that does not depend on the order of summation.
+    """Mean that does not depend on the order of summation.
 
-    Values are summed as decimals, so equal inputs give the same mean in any partitioning.
-    What is too large for one (beyond 10**28) is left out, and a sum that is gives NULL.
+    Values are summed as decimals of ten places, so equal inputs give the same mean in any
+    partitioning. What is too large for one (beyond 10**28) is left out, and a sum that is
+    gives NULL.
     """
-    return F.try_avg(value.try_cast("decimal(38,10)")).cast("double")
+    exact = value.try_cast("decimal(38,10)")
+    return F.try_sum(exact).cast("double") / F.nullif(F.count(exact), F.lit(0))
 
 
 def coerce_number(value: Column) -> Column:

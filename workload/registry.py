@@ -32,5 +32,6 @@ def rounded(value: str, digits: int) -> str:
 
 
 def mean(value: str) -> str:
-    """SQL for a mean to two places."""
-    return f"round_even(avg({value}), 2)"
+    """SQL for a mean to two places, summed as decimals so that ties fall one way."""
+    total = f"cast(sum(cast({value} as decimal(28, 10))) as double)"
+    return f"round_even({total} / nullif(count({value}), 0), 2)"
