@@ -36,7 +36,7 @@ REACH = LENGTH - GRAM + 1
 # Text bytes per bucket of anchors, segments per shard, text bytes handled together.
 BUCKET_BYTES = 16 << 20
 SHARD_SEGMENTS = 4096
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -79,6 +79,16 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return least[starts], starts, ends
 
 
+def keys_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 40 more bits of anchors.
+
+    A bucket holds about a million anchors however many there are in all, so hardly any two
+    share a key; if they do, text is looked at that does not repeat.
+    """
+    low = (hashes // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
+    return ((hashes % np.uint64(buckets)) << np.uint64(40)) | low
+
+
 def announced(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     """What other batches must know of the anchors of this one, and what is settled here.
 
@@ -87,17 +97,17 @@ def announced(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     """
     found = [anchors(np.frombuffer(text.as_buffer(), np.uint8))[0] for text in batch.column("text")]
     ids = batch.column("id").to_numpy()
-    hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    keys = keys_of(np.concatenate(found) if found else np.zeros(0, np.uint64), buckets)
     owners = np.repeat(ids, [len(f) for f in found])
-    order = np.lexsort((owners, hashes))
-    hashes, owners = hashes[order], owners[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
-    hashes, owners = hashes[fresh], owners[fresh]
-    edge = np.ones(len(hashes), bool)
-    edge[1:-1] = (hashes[1:-1] != hashes[:-2]) | (hashes[1:-1] != hashes[2:])
-    out: dict[str, list] = {"bucket": [], "settled": [], "docs": [], "counts": [], "hashes": []}
-    where = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+    keys, owners = keys[fresh], owners[fresh]
+    edge = np.ones(len(keys), bool)
+    edge[1:-1] = (keys[1:-1] != keys[:-2]) | (keys[1:-1] != keys[2:])
+    out: dict[str, list] = {name: [] for name in _ANNOUNCED.names}
+    where = (keys >> np.uint64(40)).astype(np.int64)
     for settled in (False, True):
         chosen = np.flatnonzero(edge != settled)
         chosen = chosen[np.lexsort((owners[chosen], where[chosen]))]
@@ -108,43 +118,56 @@ def announced(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
             out["settled"].append(settled)
             out["docs"].append(docs.tobytes())
             out["counts"].append(counts.astype(np.int32).tobytes())
-            out["hashes"].append(hashes[part].tobytes())
+            out["keys"].append(keys[part].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
     return pa.RecordBatch.from_pydict(out, _ANNOUNCED)
 
 
 _ANNOUNCED = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("docs", pa.binary()),
-                        ("counts", pa.binary()), ("hashes", pa.binary())])
+                        ("counts", pa.binary()), ("keys", pa.binary())])
 
 
 def shared_anchors(rows: pa.Table) -> pa.Table:
     """Per document the anchors of one bucket that another document holds, too."""
     parts = []
     for row in rows.to_pylist():
-        docs = np.repeat(np.frombuffer(row["docs"], np.int64), np.frombuffer(row["counts"], np.int32))
-        parts.append((docs, np.frombuffer(row["hashes"], np.uint64), np.full(len(docs), row["settled"])))
-    docs, hashes, settled = (np.concatenate(column) for column in zip(*parts, strict=True))
-    order = np.lexsort((docs, hashes))
-    docs, hashes, settled = docs[order], hashes[order], settled[order]
-    starts = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1))
-    ends = np.append(starts[1:], len(hashes))
+        counts = np.frombuffer(row["counts"], np.int32)
+        docs = np.repeat(np.frombuffer(row["docs"], np.int64), counts)
+        wide = np.zeros((len(docs), 8), np.uint8)
+        wide[:, :5] = np.frombuffer(row["keys"], np.uint8).reshape(-1, 5)
+        keys = wide.view(np.uint64).ravel() | np.uint64(row["bucket"] << 40)
+        parts.append((docs, keys, np.full(len(docs), row["settled"])))
+    docs, keys, settled = (np.concatenate(column) for column in zip(*parts, strict=True))
+    order = np.lexsort((docs, keys))
+    docs, keys, settled = docs[order], keys[order], settled[order]
+    starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    ends = np.append(starts[1:], len(keys))
     several = np.repeat(docs[starts] != docs[ends - 1], ends - starts)
-    docs, hashes = docs[several | settled], hashes[several | settled]
+    docs, keys = docs[several | settled], keys[several | settled]
     order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
+    docs, keys = docs[order], keys[order]
     own, firsts = np.unique(docs, return_index=True)
-    lists = np.split(hashes, firsts[1:]) if len(own) else []
+    lists = np.split(keys, firsts[1:]) if len(own) else []
     return pa.table([pa.array(own, pa.int64()), pa.array([h.tobytes() for h in lists], pa.binary())],
-                    names=["id", "hashes"])
+                    names=["id", "keys"])
 
 
-def segments(data: np.ndarray, shared: set[int]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+def segments(
+    data: np.ndarray, shared: np.ndarray, buckets: int
+) -> Iterator[tuple[int, int, int, int, bytes]]:
     """Anchor, starts, name and bytes of each segment whose anchor is shared."""
     import xxhash
 
-    for anchor, start, end in zip(*(column.tolist() for column in anchors(data)), strict=True):
-        if anchor in shared:
-            content = data[start : end + LENGTH - 1].tobytes()
-            yield anchor, start, end, xxhash.xxh3_128_digest(content), content
+    hashes, starts, ends = anchors(data)
+    chosen = np.isin(keys_of(hashes, buckets), shared)
+    columns = (column[chosen].tolist() for column in (hashes, starts, ends))
+    for anchor, start, end in zip(*columns, strict=True):
+        content = data[start : end + LENGTH - 1].tobytes()
+        yield anchor, start, end, name_of(xxhash.xxh3_64_intdigest(content)), content
+
+
+def name_of(digest: int) -> int:
+    """A hash as a signed number."""
+    return digest - (1 << 64) if digest >> 63 else digest
 
 
 class Shard:
@@ -218,38 +241,96 @@ def judged(contents: list[bytes], docs: np.ndarray) -> np.ndarray:
     return masks
 
 
-def verdicts(rows: pa.Table) -> pa.Table:
-    """Smallest document and mask of each different segment of one bucket."""
-    order = np.lexsort((rows.column("doc").to_numpy(), rows.column("anchor").to_numpy()))
-    names, contents = rows.column("name").to_pylist(), rows.column("content").to_pylist()
-    anchor, doc = rows.column("anchor").to_numpy(), rows.column("doc").to_numpy()
-    first: dict[bytes, int] = {}
-    for row in order.tolist():
-        first.setdefault(names[row], row)  # the smallest document comes first
-    kept = np.fromiter(first.values(), np.int64, len(first))
-    _, which, sizes = np.unique(anchor[kept], return_inverse=True, return_counts=True)
-    masks = np.zeros(len(kept), np.int64)
-    several = np.flatnonzero(sizes[which] > 1)
-    if len(several):
-        masks[several] = judged([contents[r] for r in kept[several]], doc[kept[several]])
-    return pa.table(
-        [pa.array([names[r] for r in kept], pa.binary()), pa.array(doc[kept], pa.int64()),
-         pa.array(masks)],
-        names=["name", "least", "mask"],
-    )
+def offered(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """The different segments of a batch, each with its smallest document.
 
+    Any larger document of the batch that has the segment loses it whole, whatever other
+    batches hold, so that is settled here and only the smallest waits for a verdict.
+    """
+    first: dict[bytes, tuple[int, int]] = {}
+    settled: set[tuple[int, int]] = set()
+    for doc, data, shared in sorted(_shared_texts(batch), key=lambda item: item[0]):
+        for anchor, _, _, name, content in segments(data, shared, buckets):
+            known = first.setdefault(content, (doc, anchor))
+            if known[0] < doc:
+                settled.add((doc, name))
+    out: dict[str, list] = {name: [] for name in _OFFERED.names}
+    by_bucket: dict[int, list[tuple[int, int, bytes]]] = {}
+    for content, (doc, anchor) in first.items():
+        by_bucket.setdefault(anchor % buckets, []).append((doc, anchor, content))
+    for bucket, entries in by_bucket.items():
+        out["bucket"].append(bucket)
+        out["settled"].append(False)
+        out["docs"].append(np.array([e[0] for e in entries], np.int64).tobytes())
+        out["numbers"].append(np.array([e[1] for e in entries], np.uint64).tobytes())
+        out["sizes"].append(np.array([len(e[2]) for e in entries], np.uint8).tobytes())
+        out["contents"].append(b"".join(e[2] for e in entries))
+    pairs = sorted(settled)
+    for begin in range(0, len(pairs), 1 << 16):
+        part = np.array(pairs[begin : begin + (1 << 16)], np.int64)
+        out["bucket"].append(int(part[0, 0]) % buckets)
+        out["settled"].append(True)
+        out["docs"].append(part[:, 0].tobytes())
+        out["numbers"].append(part[:, 1].tobytes())
+        out["sizes"].append(b"")
+        out["contents"].append(b"")
+    return pa.RecordBatch.from_pydict(out, _OFFERED)
+
+
+_OFFERED = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("docs", pa.binary()),
+                      ("numbers", pa.binary()), ("sizes", pa.binary()), ("contents", pa.binary())])
 
-def cut(data: np.ndarray, doc: int, shared: set[int], known: dict[bytes, tuple[int, int]]):
+
+def verdicts(rows: pa.Table) -> pa.Table:
+    """For each document the segments of one bucket it loses: all strings (-1) or a mask."""
+    import xxhash
+
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    docs, numbers, contents = [], [], []
+    for row in rows.to_pylist():
+        owners = np.frombuffer(row["docs"], np.int64)
+        if row["settled"]:
+            names = np.frombuffer(row["numbers"], np.int64)
+            done.append((owners, names, np.full(len(owners), -1)))
+            continue
+        docs.append(owners)
+        numbers.append(np.frombuffer(row["numbers"], np.uint64))
+        edges = np.concatenate(([0], np.cumsum(np.frombuffer(row["sizes"], np.uint8), dtype=np.int64)))
+        data = row["contents"]
+        contents += [data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    if contents:
+        doc, anchor = np.concatenate(docs), np.concatenate(numbers)
+        place: dict[bytes, int] = {}
+        which = np.fromiter((place.setdefault(c, len(place)) for c in contents), np.int64)
+        least = np.full(len(place), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, doc)
+        firsts = np.unique(which, return_index=True)[1]
+        _, groups, sizes = np.unique(anchor[firsts], return_inverse=True, return_counts=True)
+        masks = np.zeros(len(place), np.int64)
+        several = np.flatnonzero(sizes[groups] > 1)
+        if len(several):
+            masks[several] = judged([contents[firsts[i]] for i in several], least[several])
+        verdict = np.where(doc > least[which], -1, masks[which])
+        lost = np.flatnonzero(verdict)
+        names = [name_of(xxhash.xxh3_64_intdigest(contents[i])) for i in lost.tolist()]
+        done.append((doc[lost], np.array(names, np.int64), verdict[lost]))
+    columns = [np.concatenate(c) for c in zip(*done, strict=True)] if done else [[], [], []]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["id", "name", "mask"])
+
+
+def cut(data: np.ndarray, shared: np.ndarray, known: dict[int, int], buckets: int):
     """Bytes that stay, and begins and ends of the runs that go."""
     gone = np.zeros(len(data) + 1, np.int32)
-    for _, start, end, name, _ in segments(data, shared):
-        least, mask = known.get(name, (doc, 0))
-        if least < doc:
-            hits = np.array([start]), np.array([end - 1])
-        else:
-            hits = (np.array([start + i for i in range(end - start) if mask >> i & 1], np.int64),) * 2
-        np.add.at(gone, hits[0], 1)
-        np.add.at(gone, hits[1] + LENGTH, -1)
+    for _, start, end, name, _ in segments(data, shared, buckets) if known else ():
+        mask = known.get(name, 0)
+        if mask == -1:
+            gone[start] += 1
+            gone[end - 1 + LENGTH] -= 1
+        elif mask:
+            for offset in range(end - start):
+                if mask >> offset & 1:
+                    gone[start + offset] += 1
+                    gone[start + offset + LENGTH] -= 1
     covered = np.cumsum(gone[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
     return data[~covered].tobytes(), edges[::2], edges[1::2]
@@ -275,41 +356,19 @@ def remove_repeats(
         for batch in _sized(batches):
             yield announced(batch, buckets)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sized(batches):
-            found: dict[bytes, tuple] = {}
-            for doc, data, shared in _shared_texts(batch):
-                for anchor, _, _, name, content in segments(data, shared):
-                    known = found.get(name)
-                    if known is None or doc < known[2]:
-                        found[name] = anchor, content, doc
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v[0] % buckets for v in found.values()], pa.int64()),
-                 pa.array(np.array([v[0] for v in found.values()], np.uint64).view(np.int64)),
-                 pa.array(found.keys(), pa.binary()),
-                 pa.array([v[1] for v in found.values()], pa.binary()),
-                 pa.array([v[2] for v in found.values()], pa.int64())],
-                ["bucket", "anchor", "name", "content", "doc"],
-            )
-
-    def name_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sized(batches):
-            ids, names = [], []
-            for doc, data, shared in _shared_texts(batch):
-                own = {name for _, _, _, name, _ in segments(data, shared)}
-                ids += [doc] * len(own)
-                names += own
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(names, pa.binary())], ["id", "name"]
-            )
+            yield offered(batch, buckets)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sized(batches):
             known_lists = batch.column("known").to_pylist()
             out: list[tuple] = []
             for (doc, data, shared), known in zip(_shared_texts(batch), known_lists, strict=True):
-                verdict = {k["name"]: (k["least"], k["mask"]) for k in known or ()}
-                kept, begins, ends = cut(data, doc, shared if verdict else set(), verdict)
+                verdict: dict[int, int] = {}
+                for one in known or ():
+                    verdict[one["name"]] = verdict.get(one["name"], 0) | one["mask"]
+                kept, begins, ends = cut(data, shared, verdict, buckets)
                 out.append((doc, len(data), len(data) - len(kept), begins, ends, kept))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
@@ -320,25 +379,19 @@ def remove_repeats(
             )
 
     told = texts.mapInArrow(
-        announce, "bucket long, settled boolean, docs binary, counts binary, hashes binary"
+        announce, "bucket long, settled boolean, docs binary, counts binary, keys binary"
     )
-    answers = told.groupBy("bucket").applyInArrow(shared_anchors, "id long, hashes binary")
+    answers = told.groupBy("bucket").applyInArrow(shared_anchors, "id long, keys binary")
     answers = common.staged(answers, "anchors")
-    flagged = answers.groupBy("id").agg(F.collect_list("hashes").alias("hashes"))
+    flagged = answers.groupBy("id").agg(F.collect_list("keys").alias("keys"))
+    # The texts are moved to their answers once: both uses below read the same exchange.
     marked = texts.join(flagged.hint("shuffle_hash"), "id", "left")
-    with_any = marked.where(F.col("hashes").isNotNull())
-    pieces = with_any.mapInArrow(
-        split, "bucket long, anchor long, name binary, content binary, doc long"
-    )
-    found = pieces.groupBy("bucket").applyInArrow(verdicts, "name binary, least long, mask long")
-    named = with_any.mapInArrow(name_all, "id long, name binary")
-    own = (
-        named.join(found, "name")
-        .where((F.col("id") > F.col("least")) | (F.col("mask") != 0))
-        .groupBy("id")
-        .agg(F.collect_list(F.struct("name", "least", "mask")).alias("known"))
+    offers = marked.where(F.col("keys").isNotNull()).mapInArrow(
+        offer, "bucket long, settled boolean, docs binary, numbers binary, sizes binary,"
+        " contents binary"
     )
-    own = common.staged(own, "verdicts")
+    found = offers.groupBy("bucket").applyInArrow(verdicts, "id long, name long, mask long")
+    own = found.groupBy("id").agg(F.collect_list(F.struct("name", "mask")).alias("known"))
     ready = marked.join(own.hint("shuffle_hash"), "id", "left")
     result = ready.mapInArrow(
         finish, "id long, n_bytes long, n_removed long, begins array<long>, "
@@ -353,11 +406,11 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from by_bytes(whole, sizes, BATCH_BYTES)
 
 
-def _shared_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, set[int]]]:
-    """Id, bytes and shared anchors of each document."""
+def _shared_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Id, bytes and shared anchors' keys of each document."""
     rows = zip(batch.column("id").to_pylist(), batch.column("text"),
-               batch.column("hashes").to_pylist(), strict=True)
+               batch.column("keys").to_pylist(), strict=True)
     for doc, text, lists in rows:
-        data = np.frombuffer(text.as_py().encode(), np.uint8)
-        shared = {h for one in lists or () for h in np.frombuffer(one, np.uint64).tolist()}
-        yield doc, data, shared
+        parts = [np.frombuffer(one, np.uint64) for one in lists or ()]
+        shared = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        yield doc, np.frombuffer(text.as_buffer(), np.uint8), shared
