@@ -53,8 +53,14 @@ _temporary: list[tuple[SparkSession, str]] = []
 def _remove() -> None:
     for spark, path in _temporary:
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            files.delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may already be gone
+            context = spark.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            # A session that was stopped has no settings any more.
+            settings = (
+                context._jsc.hadoopConfiguration()
+                if context._jsc
+                else context._jvm.org.apache.hadoop.conf.Configuration()
+            )
+            target.getFileSystem(settings).delete(target, True)
+        except Exception:  # noqa: BLE001 - the process ends anyway
             return
