@@ -42,12 +42,11 @@ BATCH_BYTES = 8 << 20
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the gram at each position."""
     n = len(data) - GRAM + 1
-    total = np.zeros(n, np.uint64)
+    eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8))
+    eights, total = eights.view(np.uint64).ravel(), np.zeros(n, np.uint64)
     for offset in (*range(0, GRAM - 8, 8), GRAM - 8):
-        eight = np.lib.stride_tricks.sliding_window_view(data[offset : offset + n + 7], 8)
-        total = (total ^ np.ascontiguousarray(eight).view(np.uint64).ravel()) * np.uint64(
-            0x9E3779B97F4A7C15
-        )
+        total ^= eights[offset : offset + n]
+        total *= np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
     total *= np.uint64(0xD6E8FEB86659FD93)
     return total ^ (total >> np.uint64(32))
