@@ -11,6 +11,10 @@ transform of its own. The transforms are merged by refining their interleave: ev
 orders all suffixes by one symbol more, reading nothing but the transforms, and the round
 in which two neighbours part gives their common prefix. Neighbours that share 50 bytes
 form the repeated intervals, and the smallest id in an interval tells which strings go.
+
+An anchor around which very many segments stand is not given to one bucket. Its strings
+go to the buckets of their own hashes instead, where equal ones meet, and a batch sends a
+string once however many of its documents hold it.
 """
 
 from __future__ import annotations
@@ -37,6 +41,13 @@ REACH = LENGTH - GRAM + 1
 BUCKET_BYTES = 16 << 20
 SHARD_SEGMENTS = 4096
 BATCH_BYTES = 8 << 20
+# Runs around one anchor from which its strings are dealt by themselves, and segments
+# that are merged together if they belong to several anchors.
+HOT_RUNS = 1 << 14
+# Marks such an anchor's key.
+HOT = np.uint64(1 << 63)
+# Buckets of such strings for each bucket of anchors, as there are more of them.
+STRING_BUCKETS = 8
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -92,7 +103,8 @@ def announced(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     """What other batches must know of the anchors of this one, and what is settled here.
 
     An anchor is announced for the first and the last document of the batch that hold it,
-    however many do; documents between them need no answer, as the anchor is shared.
+    however many do; documents between them need no answer, as the anchor is shared. With
+    the first comes the number of runs in the batch, as one more than its logarithm.
     """
     found = [anchors(np.frombuffer(text.as_buffer(), np.uint8))[0] for text in batch.column("text")]
     ids = batch.column("id").to_numpy()
@@ -100,9 +112,12 @@ def announced(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     owners = np.repeat(ids, [len(f) for f in found])
     order = np.lexsort((owners, keys))
     keys, owners = keys[order], owners[order]
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+    runs = np.zeros(len(keys), np.uint8)
+    runs[heads] = 1 + np.ceil(np.log2(np.diff(np.append(heads, len(keys))))).astype(np.uint8)
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-    keys, owners = keys[fresh], owners[fresh]
+    keys, owners, runs = keys[fresh], owners[fresh], runs[fresh]
     edge = np.ones(len(keys), bool)
     edge[1:-1] = (keys[1:-1] != keys[:-2]) | (keys[1:-1] != keys[2:])
     out: dict[str, list] = {name: [] for name in _ANNOUNCED.names}
@@ -118,15 +133,20 @@ def announced(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
             out["docs"].append(docs.tobytes())
             out["counts"].append(counts.astype(np.int32).tobytes())
             out["keys"].append(keys[part].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+            out["runs"].append(b"" if settled else runs[part].tobytes())
     return pa.RecordBatch.from_pydict(out, _ANNOUNCED)
 
 
 _ANNOUNCED = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("docs", pa.binary()),
-                        ("counts", pa.binary()), ("keys", pa.binary())])
+                        ("counts", pa.binary()), ("keys", pa.binary()), ("runs", pa.binary())])
+
 
+def shared_anchors(rows: pa.Table, hot_runs: int = HOT_RUNS) -> pa.Table:
+    """Per document the anchors of one bucket that another document holds, too.
 
-def shared_anchors(rows: pa.Table) -> pa.Table:
-    """Per document the anchors of one bucket that another document holds, too."""
+    All documents are told alike which anchors have more than ``hot_runs`` runs, but for
+    the rounding of a batch's runs to a power of two.
+    """
     parts = []
     for row in rows.to_pylist():
         counts = np.frombuffer(row["counts"], np.int32)
@@ -134,13 +154,18 @@ def shared_anchors(rows: pa.Table) -> pa.Table:
         wide = np.zeros((len(docs), 8), np.uint8)
         wide[:, :5] = np.frombuffer(row["keys"], np.uint8).reshape(-1, 5)
         keys = wide.view(np.uint64).ravel() | np.uint64(row["bucket"] << 40)
-        parts.append((docs, keys, np.full(len(docs), row["settled"])))
-    docs, keys, settled = (np.concatenate(column) for column in zip(*parts, strict=True))
+        runs = np.frombuffer(row["runs"], np.uint8) if row["runs"] else np.zeros(len(docs), np.uint8)
+        parts.append((docs, keys, np.full(len(docs), row["settled"]), runs))
+    docs, keys, settled, runs = (np.concatenate(column) for column in zip(*parts, strict=True))
     order = np.lexsort((docs, keys))
-    docs, keys, settled = docs[order], keys[order], settled[order]
+    docs, keys, settled, runs = docs[order], keys[order], settled[order], runs[order]
     starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
     ends = np.append(starts[1:], len(keys))
     several = np.repeat(docs[starts] != docs[ends - 1], ends - starts)
+    if len(keys):
+        counts = np.where(runs, np.int64(1) << (np.maximum(runs, 1) - 1).astype(np.int64), 0)
+        hot = np.add.reduceat(counts, starts) > hot_runs
+        keys = np.where(np.repeat(hot, ends - starts), keys | HOT, keys)
     docs, keys = docs[several | settled], keys[several | settled]
     order = np.argsort(docs, kind="stable")
     docs, keys = docs[order], keys[order]
@@ -150,13 +175,16 @@ def shared_anchors(rows: pa.Table) -> pa.Table:
                     names=["id", "keys"])
 
 
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 def segments(
-    data: np.ndarray, shared: np.ndarray, buckets: int
+    data: np.ndarray, runs: Runs, shared: np.ndarray, buckets: int
 ) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """Anchor, starts, name and bytes of each segment whose anchor is shared."""
+    """Anchor, starts, name and bytes of each segment whose anchor is shared, but not hot."""
     import xxhash
 
-    hashes, starts, ends = anchors(data)
+    hashes, starts, ends = runs
     chosen = np.isin(keys_of(hashes, buckets), shared)
     columns = (column[chosen].tolist() for column in (hashes, starts, ends))
     for anchor, start, end in zip(*columns, strict=True):
@@ -164,6 +192,45 @@ def segments(
         yield anchor, start, end, name_of(xxhash.xxh3_64_intdigest(content)), content
 
 
+def hot_strings(
+    data: np.ndarray, runs: Runs, shared: np.ndarray, buckets: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and both hashes of the strings whose anchor is hot."""
+    hot = shared[shared >= HOT] ^ HOT
+    hashes, starts, ends = runs
+    chosen = np.isin(keys_of(hashes, buckets), hot) if len(hot) else np.zeros(len(starts), bool)
+    starts, sizes = starts[chosen], (ends - starts)[chosen]
+    before = np.cumsum(sizes) - sizes
+    places = np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+    low, high = np.zeros(len(places), np.uint64), np.full(len(places), LENGTH, np.uint64)
+    if len(places):
+        eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8))
+        eights = eights.view(np.uint64).ravel()
+        for offset in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+            word = eights[places + offset]
+            low = (low ^ word) * np.uint64(0x9E3779B97F4A7C15)
+            low ^= low >> np.uint64(29)
+            high = (high + word) * np.uint64(0xC2B2AE3D27D4EB4F)
+            high ^= high >> np.uint64(31)
+        low = low * np.uint64(0xD6E8FEB86659FD93)
+        high = high * np.uint64(0x165667B19E3779F9)
+        low, high = low ^ (low >> np.uint64(32)), high ^ (high >> np.uint64(32))
+    return places, low, high
+
+
+def first_holders(
+    docs: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's different strings in order, and which of them a smaller one holds."""
+    order = np.lexsort((docs, low, high))
+    docs, low, high = docs[order], low[order], high[order]
+    other, fresh = np.ones(len(docs), bool), np.ones(len(docs), bool)
+    other[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    fresh[1:] = other[1:] | (docs[1:] != docs[:-1])
+    least = docs[other][np.cumsum(other) - 1]
+    return docs[fresh], low[fresh], high[fresh], (docs > least)[fresh]
+
+
 def name_of(digest: int) -> int:
     """A hash as a signed number."""
     return digest - (1 << 64) if digest >> 63 else digest
@@ -244,15 +311,21 @@ def offered(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     """The different segments of a batch, each with its smallest document.
 
     Any larger document of the batch that has the segment loses it whole, whatever other
-    batches hold, so that is settled here and only the smallest waits for a verdict.
+    batches hold, so that is settled here and only the smallest waits for a verdict. The
+    same holds for each string of hot anchors, which are offered by hashes.
     """
     first: dict[bytes, tuple[int, int]] = {}
     settled: set[tuple[int, int]] = set()
+    strings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for doc, data, shared in sorted(_shared_texts(batch), key=lambda item: item[0]):
-        for anchor, _, _, name, content in segments(data, shared, buckets):
+        runs = anchors(data)
+        for anchor, _, _, name, content in segments(data, runs, shared, buckets):
             known = first.setdefault(content, (doc, anchor))
             if known[0] < doc:
                 settled.add((doc, name))
+        _, low, high = hot_strings(data, runs, shared, buckets)
+        if len(low):
+            strings.append((np.full(len(low), doc), low, high))
     out: dict[str, list] = {name: [] for name in _OFFERED.names}
     by_bucket: dict[int, list[tuple[int, int, bytes]]] = {}
     for content, (doc, anchor) in first.items():
@@ -260,6 +333,7 @@ def offered(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     for bucket, entries in by_bucket.items():
         out["bucket"].append(bucket)
         out["settled"].append(False)
+        out["strings"].append(False)
         out["docs"].append(np.array([e[0] for e in entries], np.int64).tobytes())
         out["numbers"].append(np.array([e[1] for e in entries], np.uint64).tobytes())
         out["sizes"].append(np.array([len(e[2]) for e in entries], np.uint8).tobytes())
@@ -269,25 +343,56 @@ def offered(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
         part = np.array(pairs[begin : begin + (1 << 16)], np.int64)
         out["bucket"].append(int(part[0, 0]) % buckets)
         out["settled"].append(True)
+        out["strings"].append(False)
         out["docs"].append(part[:, 0].tobytes())
         out["numbers"].append(part[:, 1].tobytes())
         out["sizes"].append(b"")
         out["contents"].append(b"")
+    if strings:
+        docs, low, high, late = first_holders(*map(np.concatenate, zip(*strings, strict=True)))
+        where = (high % np.uint64(STRING_BUCKETS * buckets)).astype(np.int64) + buckets
+        for done in (False, True):
+            chosen = np.flatnonzero(late == done)
+            # What is settled is dealt by documents, what waits by strings.
+            chosen = chosen[np.argsort(docs[chosen] if done else where[chosen], kind="stable")]
+            cuts = (np.arange(1 << 16, len(chosen), 1 << 16) if done
+                    else np.flatnonzero(np.diff(where[chosen])) + 1)
+            for part in np.split(chosen, cuts) if len(chosen) else []:
+                out["bucket"].append(int(docs[part[0]]) % buckets if done else int(where[part[0]]))
+                out["settled"].append(done)
+                out["strings"].append(True)
+                out["docs"].append(docs[part].tobytes())
+                out["numbers"].append(low[part].tobytes())
+                out["sizes"].append(b"")
+                out["contents"].append(b"" if done else high[part].tobytes())
     return pa.RecordBatch.from_pydict(out, _OFFERED)
 
 
-_OFFERED = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("docs", pa.binary()),
-                      ("numbers", pa.binary()), ("sizes", pa.binary()), ("contents", pa.binary())])
+_OFFERED = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("strings", pa.bool_()),
+                      ("docs", pa.binary()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("contents", pa.binary())])
 
 
 def verdicts(rows: pa.Table) -> pa.Table:
-    """For each document the segments of one bucket it loses: all strings (-1) or a mask."""
+    """For each document the segments of one bucket it loses: all strings (-1) or a mask.
+
+    Lost strings of hot anchors come together, as hashes, without a name.
+    """
     import xxhash
 
+    lost_docs, lost_strings = [], []
+    hot: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     docs, numbers, contents = [], [], []
     for row in rows.to_pylist():
         owners = np.frombuffer(row["docs"], np.int64)
+        if row["strings"]:
+            low = np.frombuffer(row["numbers"], np.uint64)
+            if row["settled"]:
+                lost_docs.append(owners)
+                lost_strings.append(low)
+            else:
+                hot.append((owners, low, np.frombuffer(row["contents"], np.uint64)))
+            continue
         if row["settled"]:
             names = np.frombuffer(row["numbers"], np.int64)
             done.append((owners, names, np.full(len(owners), -1)))
@@ -307,20 +412,50 @@ def verdicts(rows: pa.Table) -> pa.Table:
         _, groups, sizes = np.unique(anchor[firsts], return_inverse=True, return_counts=True)
         masks = np.zeros(len(place), np.int64)
         several = np.flatnonzero(sizes[groups] > 1)
-        if len(several):
-            masks[several] = judged([contents[firsts[i]] for i in several], least[several])
+        several = several[np.argsort(groups[several], kind="stable")]
+        # Anchors are judged some at a time, but the segments of one together.
+        heads = np.flatnonzero(np.diff(groups[several], prepend=-1))
+        heads = heads[np.flatnonzero(np.diff(heads // HOT_RUNS, prepend=-1))]
+        for part in np.split(several, heads[1:]) if len(several) else []:
+            masks[part] = judged([contents[firsts[i]] for i in part], least[part])
         verdict = np.where(doc > least[which], -1, masks[which])
         lost = np.flatnonzero(verdict)
         names = [name_of(xxhash.xxh3_64_intdigest(contents[i])) for i in lost.tolist()]
         done.append((doc[lost], np.array(names, np.int64), verdict[lost]))
     columns = [np.concatenate(c) for c in zip(*done, strict=True)] if done else [[], [], []]
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["id", "name", "mask"])
-
-
-def cut(data: np.ndarray, shared: np.ndarray, known: dict[int, int], buckets: int):
+    whole = pa.table([*(pa.array(c, pa.int64()) for c in columns),
+                      pa.nulls(len(columns[0]), pa.binary())], names=_VERDICT)
+    if hot:
+        owners, low, _, late = first_holders(*map(np.concatenate, zip(*hot, strict=True)))
+        lost_docs.append(owners[late])
+        lost_strings.append(low[late])
+    if not lost_docs:
+        return whole
+    owners, low = np.concatenate(lost_docs), np.concatenate(lost_strings)
+    order = np.argsort(owners, kind="stable")
+    own, begins = np.unique(owners[order], return_index=True)
+    lists = np.split(low[order], begins[1:]) if len(own) else []
+    nothing = pa.array(np.zeros(len(own), np.int64))
+    parts = pa.table([pa.array(own, pa.int64()), nothing, nothing,
+                      pa.array([x.tobytes() for x in lists], pa.binary())], names=_VERDICT)
+    return pa.concat_tables([whole, parts])
+
+
+_VERDICT = ["id", "name", "mask", "strings"]
+
+
+def cut(
+    data: np.ndarray, shared: np.ndarray, known: dict[int, int], lost: np.ndarray, buckets: int
+):
     """Bytes that stay, and begins and ends of the runs that go."""
     gone = np.zeros(len(data) + 1, np.int32)
-    for _, start, end, name, _ in segments(data, shared, buckets) if known else ():
+    runs = anchors(data) if known or len(lost) else None
+    if len(lost):
+        places, low, _ = hot_strings(data, runs, shared, buckets)
+        places = places[np.isin(low, lost)]
+        gone[places] += 1
+        gone[places + LENGTH] -= 1
+    for _, start, end, name, _ in segments(data, runs, shared, buckets) if known else ():
         mask = known.get(name, 0)
         if mask == -1:
             gone[start] += 1
@@ -337,7 +472,7 @@ def cut(data: np.ndarray, shared: np.ndarray, known: dict[int, int], buckets: in
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    bucket_bytes: int = BUCKET_BYTES,
+    bucket_bytes: int = BUCKET_BYTES, hot_runs: int = HOT_RUNS,
 ) -> DataFrame:
     """Rows ``id, n_bytes, n_removed, begins, ends, kept``, one for every row of ``docs``.
 
@@ -365,9 +500,13 @@ def remove_repeats(
             out: list[tuple] = []
             for (doc, data, shared), known in zip(_shared_texts(batch), known_lists, strict=True):
                 verdict: dict[int, int] = {}
+                lost = [np.zeros(0, np.uint64)]
                 for one in known or ():
-                    verdict[one["name"]] = verdict.get(one["name"], 0) | one["mask"]
-                kept, begins, ends = cut(data, shared, verdict, buckets)
+                    if one["strings"] is None:
+                        verdict[one["name"]] = verdict.get(one["name"], 0) | one["mask"]
+                    else:
+                        lost.append(np.frombuffer(one["strings"], np.uint64))
+                kept, begins, ends = cut(data, shared, verdict, np.concatenate(lost), buckets)
                 out.append((doc, len(data), len(data) - len(kept), begins, ends, kept))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
@@ -378,19 +517,23 @@ def remove_repeats(
             )
 
     told = texts.mapInArrow(
-        announce, "bucket long, settled boolean, docs binary, counts binary, keys binary"
+        announce, "bucket long, settled boolean, docs binary, counts binary, keys binary, runs binary"
+    )
+    answers = told.groupBy("bucket").applyInArrow(
+        lambda rows: shared_anchors(rows, hot_runs), "id long, keys binary"
     )
-    answers = told.groupBy("bucket").applyInArrow(shared_anchors, "id long, keys binary")
     answers = common.staged(answers, "anchors")
     flagged = answers.groupBy("id").agg(F.collect_list("keys").alias("keys"))
     # The texts are moved to their answers once: both uses below read the same exchange.
     marked = texts.join(flagged.hint("shuffle_hash"), "id", "left")
     offers = marked.where(F.col("keys").isNotNull()).mapInArrow(
-        offer, "bucket long, settled boolean, docs binary, numbers binary, sizes binary,"
-        " contents binary"
+        offer, "bucket long, settled boolean, strings boolean, docs binary, numbers binary,"
+        " sizes binary, contents binary"
+    )
+    found = offers.groupBy("bucket").applyInArrow(
+        verdicts, "id long, name long, mask long, strings binary"
     )
-    found = offers.groupBy("bucket").applyInArrow(verdicts, "id long, name long, mask long")
-    own = found.groupBy("id").agg(F.collect_list(F.struct("name", "mask")).alias("known"))
+    own = found.groupBy("id").agg(F.collect_list(F.struct("name", "mask", "strings")).alias("known"))
     ready = marked.join(own.hint("shuffle_hash"), "id", "left")
     result = ready.mapInArrow(
         finish, "id long, n_bytes long, n_removed long, begins array<long>, "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -131,6 +132,56 @@ def test_spans_cross_neither_documents_nor_rows_of_one_id(spark):
                      (7, 0, 0), (8, 120, 1)]
 
 
+def test_spans_around_a_phrase_in_many_contexts(spark):
+    """One 20-byte phrase with thousands of different texts around it, some of them alike."""
+    rng = np.random.default_rng(11)
+    phrase = b"#twenty-byte-phrase#"
+    assert len(phrase) == repeated_spans.GRAM
+    sides = [bytes(rng.integers(97, 123, 40).astype(np.uint8)) for _ in range(4000)]
+    rows = []
+    for i in range(4000):
+        left = sides[i] if i % 5 else sides[int(rng.integers(0, 50))]
+        right = sides[3999 - i] if i % 7 else sides[int(rng.integers(0, 50))]
+        rows.append((i // 2 * 2 if i % 100 == 1 else i, left + phrase + right))
+    hot, buckets = 200, 4
+    batches = [pa.RecordBatch.from_pydict({"id": [i for i, _ in part], "text": [t for _, t in part]},
+               pa.schema([("id", pa.int64()), ("text", pa.string())]))
+               for part in ([(i, t.decode()) for i, t in rows[k::3]] for k in range(3))]
+    told = [row for b in batches for row in repeated_spans.announced(b, buckets).to_pylist()]
+    keys: dict[int, list[bytes]] = {}
+    for bucket in {row["bucket"] for row in told}:
+        mine = pa.Table.from_pylist([r for r in told if r["bucket"] == bucket],
+                                    repeated_spans._ANNOUNCED)
+        for row in repeated_spans.shared_anchors(mine, hot).to_pylist():
+            keys.setdefault(row["id"], []).append(row["keys"])
+    around: dict[int, int] = {}
+    for b in batches:
+        lists = pa.array([keys.get(i) for i in b.column("id").to_pylist()], pa.list_(pa.binary()))
+        marked = pa.RecordBatch.from_arrays([*b.columns, lists], ["id", "text", "keys"])
+        for row in repeated_spans.offered(marked, buckets).to_pylist():
+            if not row["settled"] and not row["strings"]:
+                for anchor in np.frombuffer(row["numbers"], np.uint64).tolist():
+                    around[anchor] = around.get(anchor, 0) + 1
+    assert max(around.values(), default=0) <= hot
+
+    first: dict[bytes, int] = {}
+    for i, text in rows:
+        for at in range(len(text) - 49):
+            first[text[at : at + 50]] = min(first.get(text[at : at + 50], i), i)
+    expected = []
+    for i, text in rows:
+        gone = set()
+        for at in range(len(text) - 49):
+            if first[text[at : at + 50]] < i:
+                gone.update(range(at, at + 50))
+        expected.append((i, bytes(c for at, c in enumerate(text) if at not in gone)))
+    assert any(len(kept) < 100 for _, kept in expected)
+    docs = frame(spark, [(i, t.decode()) for i, t in rows]).repartition(3)
+    for limit in (hot, repeated_spans.HOT_RUNS):
+        found = repeated_spans.remove_repeats(docs, bucket_bytes=1 << 16, hot_runs=limit)
+        assert sorted((r.id, bytes(r.kept)) for r in found.collect()) == sorted(expected)
+
+
 def test_merged_transforms_equal_sorted_suffixes():
     rng = np.random.default_rng(5)
     contents = [bytes(rng.integers(97, 100, rng.integers(50, 80)).astype(np.uint8))
