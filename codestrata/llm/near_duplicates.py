@@ -4,9 +4,14 @@ A document is the set of its hashed word shingles, and its sketch the k smallest
 Documents with equal sets are one from the start. Inverted lists of retained values bring
 the others together; the lists hold only the rarest values of a sketch, as many as two
 sketches with enough overlap must share, so that passages which many documents have in
-common do not fill them. Documents joined by lists form clusters, and clusters are worked
-through in blocks of bounded size: overlaps come from the sketches, the union of two
-sketches estimates the Jaccard similarity, and full sets verify it exactly.
+common do not fill them. Documents joined by lists form clusters. A cluster of one block is
+compared in one step: overlaps come from the sketches, the union of two sketches estimates
+the Jaccard similarity, and full sets verify it exactly.
+
+A larger cluster meets only a few blocks of its documents, the heads of the round. What is
+linked is contracted and the heads are done with. Lists in which a single component is left
+close, the others are made anew from the rarest values of full sets, and what they still
+join is the next round's clusters, until no list is open.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -109,68 +114,179 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
     return frame.mapInArrow(run, "id long, n long, same binary, sketch array<long>")
 
 
-def list_edges(nodes: DataFrame, share: float) -> DataFrame:
-    """Edges ``a, b`` from every node to the smallest one of each of its lists.
+def rarest(values: DataFrame, listed: Column) -> DataFrame:
+    """Rows ``value, node``: the ``listed`` rarest of a node's values, if others have them.
 
-    Of a sketch with s values only the ``s - ceil(share * s) + 1`` rarest are listed: two
-    sketches with the required overlap have one of them in common. A list is never
-    expanded into pairs.
+    ``values`` has rows ``node, size, value``, all ``size`` values of every node.
     """
-    values = nodes.select(
-        "node", F.size("sketch").alias("size"), F.explode("sketch").alias("value")
-    )
     found = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = values.join(found, "value")
     own = Window.partitionBy("node")
-    listed = F.col("size") - F.ceil(F.lit(share) * F.col("size")) + 1
     unique = F.col("size") - F.count("*").over(own)
     rank = F.row_number().over(own.orderBy("df", "value"))
     rows = shared.withColumn("room", listed - unique).withColumn("rank", rank)
-    rows = common.staged(rows.where("rank <= room").select("value", "node"), "lists")
-    heads = rows.groupBy("value").agg(F.min("node").alias("head"))
+    return common.staged(rows.where("rank <= room").select("value", "node"), "lists")
+
+
+def sketch_lists(nodes: DataFrame, share: float) -> DataFrame:
+    """Lists ``value, node`` from sketches.
+
+    Of a sketch with s values only the ``s - ceil(share * s) + 1`` rarest are listed: two
+    sketches with the required overlap have one of them in common.
+    """
+    values = nodes.select(
+        "node", F.size("sketch").alias("size"), F.explode("sketch").alias("value")
+    )
+    return rarest(values, F.col("size") - F.ceil(F.lit(share) * F.col("size")) + 1)
+
+
+def full_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Lists ``value, node`` from rows ``node, data`` of full sets.
+
+    Linked sets have ``percent`` of the values of either in common, so they share one of
+    the rarest of each, whatever order all sets take their values in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("data"), strict=True):
+                values = np.frombuffer(data.as_buffer(), np.int64)
+                same = np.full(len(values), node), np.full(len(values), len(values))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in (*same, values)], ["node", "size", "value"]
+                )
+
+    values = sets.select("node", "data").mapInArrow(run, "node long, size long, value long")
+    needed = F.floor((F.lit(percent) * F.col("size") + 99) / 100)
+    return rarest(values, F.col("size") - needed + 1)
+
+
+def list_edges(lists: DataFrame) -> DataFrame:
+    """Edges ``a, b`` from every node to the smallest one of each of its lists.
+
+    A list is never expanded into pairs.
+    """
+    heads = lists.groupBy("value").agg(F.min("node").alias("head"))
     return (
-        rows.join(heads, "value")
+        lists.join(heads, "value")
         .where("node <> head")
         .select(F.col("node").alias("a"), F.col("head").alias("b"))
         .distinct()
     )
 
 
-def verified_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` that connect what is similar, from rows ``cluster, node, n, data``.
+def open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists whose nodes are of several components."""
+    rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return lists.join(several.where("low <> high").select("value"), "value", "left_semi")
+
+
+def blocks_of(count: Column, values: Column) -> Column:
+    """Number of blocks for so many nodes and values."""
+    return F.greatest(
+        F.ceil(count / BLOCK_ROWS), F.ceil(8 * values / BLOCK_BYTES), F.lit(1)
+    ).cast("long")
+
+
+def placed(sets: DataFrame, roots: DataFrame | None, heads: int) -> DataFrame:
+    """Rows of ``sets`` with ``root, blocks, block, meet, head``.
 
-    A cluster of several blocks is worked through pair of blocks by pair of blocks, so a
-    step never holds more than two blocks. Links that others imply are left out.
+    A cluster of several blocks has its heads outside its largest component, as only pairs
+    of different components are open: ``head`` is the node's block of heads, if it is
+    below ``meet``, the number of them that the round compares, and null otherwise.
     """
-    sizes = sets.groupBy("cluster").agg(
-        F.greatest(
-            F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(8 * F.sum("n") / BLOCK_BYTES), F.lit(1)
-        ).alias("blocks")
+    if roots is None:
+        rooted = sets.withColumn("root", F.col("node"))
+    else:
+        rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = rooted.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.sum("n").alias("v"))
+    sizes = groups.groupBy("cluster").agg(
+        F.sum("c").alias("count"), F.sum("v").alias("values"),
+        F.max(F.struct("c", "root", "v")).alias("most"),
     )
-    placed = sets.join(sizes, "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks"))
+    outside = blocks_of(F.col("count") - F.col("most.c"), F.col("values") - F.col("most.v"))
+    sizes = sizes.select(
+        "cluster", blocks_of(F.col("count"), F.col("values")).alias("blocks"),
+        F.col("most.root").alias("largest"), outside.alias("outside"),
+    ).withColumn("meet", F.least("outside", F.lit(heads).cast("long")))
+    both = rooted.join(sizes, "cluster")
+    head = F.pmod(F.xxhash64("node", F.lit(heads)), F.col("outside"))
+    chosen = (F.col("blocks") > 1) & (F.col("root") != F.col("largest")) & (head < F.col("meet"))
+    return both.select(
+        "cluster", "node", "root", "n", "data", "blocks", "meet",
+        F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"),
+        F.when(chosen, head).alias("head"),
     )
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = spread.select(
-        "cluster", F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"), "block", "node", "data",
+
+
+def verified_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` that connect what is similar, from the rows of ``placed``.
+
+    A cluster of one block is compared whole; otherwise each block of heads meets each
+    block of the cluster, so a step never holds more than two blocks. Links that others
+    imply are left out.
+    """
+    first, zero = F.lit(0).cast("long"), F.lit(0)
+    alone = F.when(F.col("blocks") == 1, F.lit(1).cast("long")).otherwise(F.col("meet"))
+    members = rows.select(
+        "cluster", F.explode(F.sequence(first, alone - 1)).alias("low"),
+        F.col("block").alias("high"), F.lit(1).alias("side"), "node", "root", "data",
+    )
+    heads = rows.where("head is not null").select(
+        "cluster", F.col("head").alias("low"),
+        F.explode(F.sequence(first, F.col("blocks") - 1)).alias("high"), zero.alias("side"),
+        "node", "root", "data",
     )
     share = least_share(percent)
 
     def links(rows: pa.Table) -> pa.Table:
-        nodes = rows.column("node").to_numpy()
-        blocks = rows.column("block").to_numpy()
+        nodes, roots = rows.column("node").to_numpy(), rows.column("root").to_numpy()
+        sides = rows.column("side").to_numpy()
         values = [np.frombuffer(v.as_py(), np.int64) for v in rows.column("data")]
-        found = block_links(nodes, blocks, values, percent, share)
+        found = block_links(nodes, sides, values, percent, share, roots)
         return pa.table(
             [pa.array([a for a, _ in found], pa.int64()),
              pa.array([b for _, b in found], pa.int64())],
             names=["a", "b"],
         )
 
+    pairs = members.unionByName(heads)
     return pairs.groupBy("cluster", "low", "high").applyInArrow(links, "a long, b long")
 
 
+def all_links(sets: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` of all that ``lists`` join, from rows ``cluster, node, n, data``.
+
+    The blocks of heads double with the round, so that a cluster in which nothing is linked
+    is through after a number of rounds that is a logarithm of its blocks.
+    """
+    roots, links, heads = None, None, 1
+    while True:
+        rows = placed(sets, roots, heads)
+        found = common.staged(verified_links(rows, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        # Heads met all of their cluster, and clusters of one block are done.
+        rest = rows.where("blocks > 1 and head is null").select("node")
+        rest = common.staged(rest, "rest")
+        if rest.isEmpty():
+            return links
+        roots = common.staged(
+            common.components(links).select("node", "root"), "roots"
+        )
+        lists = open_lists(lists.join(rest, "node", "left_semi"), roots)
+        if heads == 1:
+            left = sets.join(lists.select("node").distinct(), "node", "left_semi")
+            lists = open_lists(full_lists(left, percent), roots)
+        lists = common.staged(lists, "open")
+        if lists.isEmpty():
+            return links
+        clusters = common.components(list_edges(lists))
+        clusters = clusters.select("node", F.col("root").alias("cluster"))
+        sets = common.staged(sets.drop("cluster").join(clusters, "node"), "sets")
+        heads *= 2
+
+
 class Postings:
     """Rows that hold each value, for sets of one block step."""
 
@@ -194,10 +310,12 @@ class Postings:
 
 
 def block_links(
-    nodes: np.ndarray, blocks: np.ndarray, values: list[np.ndarray], percent: int, share: float
+    nodes: np.ndarray, blocks: np.ndarray, values: list[np.ndarray], percent: int, share: float,
+    roots: np.ndarray,
 ) -> list[tuple[int, int]]:
-    """Links that connect the similar rows of one or two blocks."""
-    parent = list(range(len(nodes)))
+    """Links that connect the similar rows of one or two blocks; equal roots are connected."""
+    _, firsts, which = np.unique(roots, return_index=True, return_inverse=True)
+    parent = firsts[which].tolist()
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -269,9 +387,9 @@ def near_duplicates(
     # Equal sets are one node, named by the smallest id; hot groups meet in partial sums.
     names = common.staged(filled.groupBy("same").agg(F.min("id").alias("node")), "names")
     nodes = filled.join(names, "same").where("id = node").dropDuplicates(["same"])
-    candidates = list_edges(nodes.select("node", "sketch"), least_share(percent))
+    lists = sketch_lists(nodes.select("node", "sketch"), least_share(percent))
     clusters = common.staged(
-        common.components(candidates).select("node", F.col("root").alias("cluster")), "clusters"
+        common.components(list_edges(lists)).select("node", F.col("root").alias("cluster")), "clusters"
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +407,7 @@ def near_duplicates(
     texts = common.texts(docs, id_col, text_col).withColumnRenamed("id", "node")
     members = texts.join(clusters.hint("shuffle_hash"), "node").select("cluster", "node", "text")
     sets = members.mapInArrow(pack, "cluster long, node long, n long, data binary").where("n > 0")
-    links = verified_links(common.staged(sets, "sets"), percent)
+    links = all_links(common.staged(sets, "sets"), lists, percent)
     # An id with several texts joins the nodes of all of them.
     several = (
         filled.join(names, "same").groupBy("id")

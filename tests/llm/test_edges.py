@@ -104,6 +104,40 @@ def test_near_copies_in_a_large_group(spark):
         assert row.component_id <= row.id
 
 
+def test_large_clusters_meet_few_blocks(spark, monkeypatch):
+    """Near copies of one text, and unlike texts of which a template covers 65 %."""
+    rng = np.random.default_rng(8)
+    base, form = [f"b{x}" for x in range(120)], [f"f{x}" for x in range(80)]
+    rows, expected = [], {}
+    for i in range(5000):
+        own = list(base)
+        for place in rng.integers(0, 120, min(i, 1 + i % 3)):
+            own[place] = f"x{i}"
+        rows.append((i, " ".join(own)))
+        expected[i] = 0
+    for i in range(5000, 8000):
+        own = [f"y{i}.{x}" for x in range(40)]
+        expected[i] = i
+        if i % 100 == 99:  # a copy of the one before it, but for the last word
+            own = [f"y{i - 1}.{x}" for x in range(39)] + ["z"]
+            expected[i] = i - 1
+        rows.append((i, " ".join(form + own)))
+    copies, placed = [], near_duplicates.placed
+
+    def counted(*args):
+        out = placed(*args)
+        copies.append(out.selectExpr(
+            "sum(if(blocks = 1, 1, meet) + if(head is null, 0, blocks))").first()[0])
+        return out
+
+    monkeypatch.setattr(near_duplicates, "placed", counted)
+    docs = frame(spark, rows).repartition(4)
+    found = near_duplicates.near_duplicates(docs, words=3, percent=80).collect()
+    assert {row.id: row.component_id for row in found} == expected
+    # All pairs of blocks took 10 copies of a near copy and 6 of the others.
+    assert sum(copies) < 4 * len(rows), copies
+
+
 def test_lines_keep_the_largest_id_and_other_columns(docs):
     rows = {(r.doc_id, r.text): r for r in lines.drop_repeated_lines(docs).collect()}
     texts = {i: t for i, t in rows}
