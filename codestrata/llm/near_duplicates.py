@@ -34,8 +34,8 @@ common.ship(__name__)
 common.ship("codestrata.llm.tokens")
 
 SKETCH = 64
-# Standard deviations by which an estimate may fall short of the threshold.
-DEVIATIONS = 5.0
+# Chance that the sketches miss a pair exactly at the threshold.
+MISSED = 1e-6
 # Documents, and bytes of their sets, in one block of a cluster.
 BLOCK_ROWS = 512
 BLOCK_BYTES = 16 << 20
@@ -43,9 +43,17 @@ BATCH_BYTES = 4 << 20
 
 
 def least_share(percent: int, k: int = SKETCH) -> float:
-    """Share of a sketch that two linked documents have in common, but for rare chance."""
-    t = percent / 100
-    return max(0.05, t - DEVIATIONS * math.sqrt(t * (1 - t) / k))
+    """Share of a sketch that two linked documents have in common, but for rare chance.
+
+    Of the k smallest values of both sets together a binomial number is common; fewer than
+    this share are with a chance of ``MISSED`` at most, unless it is a single value.
+    """
+    t, below = percent / 100, 0.0
+    for common_values in range(k):
+        below += math.comb(k, common_values) * t**common_values * (1 - t) ** (k - common_values)
+        if below > MISSED:
+            return max(1, common_values) / k
+    return 1.0
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:

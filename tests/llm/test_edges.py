@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -104,6 +106,13 @@ def test_near_copies_in_a_large_group(spark):
         assert row.component_id <= row.id
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_sketches_miss_a_pair_in_a_million(percent):
+    t, least = percent / 100, round(near_duplicates.least_share(percent) * 64)
+    tail = [math.comb(64, m) * t**m * (1 - t) ** (64 - m) for m in range(least + 1)]
+    assert sum(tail[:-1]) <= 1e-6 < sum(tail)
+
+
 def test_large_clusters_meet_few_blocks(spark, monkeypatch):
     """Near copies of one text, and unlike texts of which a template covers 65 %."""
     rng = np.random.default_rng(8)
