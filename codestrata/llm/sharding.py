@@ -29,6 +29,11 @@ NODES = 24
 SALTS = 8
 
 
+def cell_count(shards: int, nodes: int) -> int:
+    """Cells of a ring at most half full of virtual nodes."""
+    return max(CELLS, 1 << (2 * shards * nodes - 1).bit_length())
+
+
 def node_cells(shards: int, nodes: int = NODES, cells: int = CELLS) -> list[tuple[int, int]]:
     """Cell and shard of each virtual node, in ring order; nodes never share a cell."""
     taken: dict[int, int] = {}
@@ -69,10 +74,10 @@ def capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (shard < total % shards) for shard in range(shards)]
 
 
-def position(id_column: Column) -> Column:
+def position(id_column: Column, cells: int) -> Column:
     """Place on the ring: a cell, and a hash that orders the rows of a cell."""
     return F.struct(
-        F.pmod(F.xxhash64(id_column), F.lit(CELLS)).cast("int").alias("cell"),
+        F.pmod(F.xxhash64(id_column), F.lit(cells)).cast("int").alias("cell"),
         F.xxhash64(id_column, F.lit(1)).alias("order"),
     )
 
@@ -82,11 +87,12 @@ def ring_plan(counts: dict[int, int], shards: int, nodes: int) -> list[dict]:
 
     ``offset`` plus the rank in the cell is the slot of a row in its shard.
     """
-    ring = node_cells(shards, nodes)
+    cells = cell_count(shards, nodes)
+    ring = node_cells(shards, nodes, cells)
     places = [cell for cell, _ in ring]
     arcs: dict[int, list[int]] = defaultdict(list)
     arc = 0
-    for cell in range(CELLS):
+    for cell in range(cells):
         while arc < len(places) and places[arc] < cell:
             arc += 1
         arcs[arc % len(places)].append(cell)
@@ -126,7 +132,7 @@ def shard_rows(
         "id",
         (F.octet_length("text") + 1).cast("long").alias("size"),
         F.crc32("text").alias("text_crc32"),
-        position(F.col("id")).alias("at"),
+        position(F.col("id"), cell_count(shards, nodes)).alias("at"),
     )
     # Ties of the whole order are equal rows; the salt keeps a hot id in many groups.
     salt = F.pmod(F.xxhash64("size", "text_crc32"), F.lit(SALTS)).cast("int")

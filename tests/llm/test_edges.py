@@ -283,6 +283,15 @@ def test_ring_moves_only_what_overflows():
     assert parts == [[(0, 2, 0), (2, 3, 1), (3, 5, 2)], [(0, 1, 1)], []]
 
 
+def test_ring_of_many_shards(spark):
+    cells = sharding.cell_count(64, sharding.NODES)
+    assert len(sharding.node_cells(64, sharding.NODES, cells)) == 64 * sharding.NODES
+    assert sharding.cell_count(16, sharding.NODES) == sharding.CELLS
+    rows = frame(spark, [(i, f"text {i}") for i in range(1000)])
+    placed = sorted((r.shard, r.slot) for r in sharding.shard_rows(rows, 64).collect())
+    assert placed == [(s, k) for s in range(64) for k in range(16 if s < 40 else 15)]
+
+
 def test_fill_meets_its_budget():
     lengths, counts = np.array([3, 7, 50_000]), np.array([10, 10, 4])
     for budget in (0, 21, 50_003, 99_000, 200_100, 10**6):
