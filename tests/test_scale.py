@@ -10,7 +10,7 @@ from conftest import dicts
 from codestrata.operators import code, history, pull_requests
 from codestrata.sinks.tables import write_parquet
 from codestrata.sources import hosting, landed
-from workload import mart_queries, pull_request_queries
+from workload import mart_queries, pull_request_queries, source_queries
 
 RAW = """repository string, number long, state string, created_at string, closed_at string,
     merged_at string, author string, commits long"""
@@ -96,6 +96,14 @@ def test_search_responses_are_taken_apart(spark, tmp_path):
     assert [(row["full_name"], row["stars"]) for row in found] == [("a/b", 3), ("c/d", 0), ("e/f", 0)]
 
 
+def test_search_pages_do_not_grow_with_the_table(spark):
+    rows = spark.range(1, 10_001).selectExpr(
+        "id as seq", "'r' || id as full_name", "id as stars", "0L as forks", "false as archived"
+    )
+    sizes = [row.total_count for row in source_queries.search_pages(rows).collect()]
+    assert max(sizes) <= 100 and sum(sizes) == 10_000
+
+
 def scans(frame, table):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     return sum("Relation" in line and table in line for line in plan.splitlines())

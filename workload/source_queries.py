@@ -322,6 +322,17 @@ def pull_request_files(spark, sf_dir):
     )
 
 
+def search_pages(rows):
+    """Search responses of at most 100 results each, from rows numbered by ``seq``."""
+    item = F.struct(
+        "full_name", F.col("stars").alias("stargazers_count"), F.col("forks").alias("forks_count"),
+        "archived",
+    )
+    return rows.groupBy(F.floor(F.col("seq") / 100).alias("page")).agg(
+        F.count(F.lit(1)).alias("total_count"), F.collect_list(item).alias("items")
+    )
+
+
 @query(
     """select full_name, stars, forks, archived from v_repository where full_name <> ''""",
     "v_repository",
@@ -329,15 +340,8 @@ def pull_request_files(spark, sf_dir):
 def search_envelopes(spark, sf_dir):
     """Search responses with many results each, written as JSON and read back."""
     path = temporary_folder(spark, "search_envelopes")
-    item = F.struct(
-        "full_name", F.col("stars").alias("stargazers_count"), F.col("forks").alias("forks_count"),
-        "archived",
-    )
     rows = load(spark, sf_dir, "v_repository").filter(F.col("full_name") != "")
-    pages = rows.groupBy((F.col("seq") % 40).alias("page")).agg(
-        F.count(F.lit(1)).alias("total_count"), F.collect_list(item).alias("items")
-    )
-    pages.drop("page").write.json(path)
+    search_pages(rows).drop("page").write.json(path)
     found = hosting.scan_repository_json(spark, path, "seq")
     return found.select("full_name", "stars", "forks", "archived")
 
