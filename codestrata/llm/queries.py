@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import (
-    lines, mixing, near_duplicates, neighbours, pieces, quality, repeated_spans,
-    sharding, tokens, toxicity,
+    lines, mixing, near_duplicates, neighbours, packing, periods, pieces, quality,
+    repeated_spans, sharding, tokens, toxicity, whitening,
 )
 from codestrata.llm.common import table
 
@@ -107,6 +107,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_of = packing.packed(table(spark, sf_dir, "documents"))
+    return pieces_of.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset",
+    )
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    by_component = F.posexplode(F.arrays_zip("whitened", "explained"))
+    return rows.select(
+        "id", "n", "deviation", "identity_error", by_component.alias("place", "own")
+    ).select(
+        F.col("id").alias("vec_id"), (F.col("place") + 1).alias("component"), "n",
+        F.col("deviation").cast("long").alias("deviation"), "own.whitened", "own.explained",
+        "identity_error",
+    )
+
+
 _WORDS = (
     "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),"
     " lambda x: x <> '')"
