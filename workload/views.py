@@ -138,6 +138,46 @@ VIEWS = {
               else '@Tests @TestFactory @Test' end,
             case when p_partkey % 9 = 0 then '' else chr(10) end) end as text
         from {part}""",
+    # Classes with members of every kind, nested types, and blocks that are no methods.
+    "v_java": "select " + _PART_OWNED + """ as repository,
+          concat('src/', p_size, '/J', p_partkey, '.java') as file, concat(
+            'package p;', chr(10), '/* class Gone {{ */ import a.b.C;', chr(10),
+            case when p_partkey % 5 = 0 then '@Deprecated(since = "1")' else '// {{ note' end,
+            chr(10), case when p_partkey % 3 = 0 then 'public abstract ' else '' end,
+            'class J', p_partkey, '<T extends Comparable<T>> extends Base<T, U> ',
+            case when p_partkey % 4 = 0 then 'implements A, B<T> ' else '' end, '{{', chr(10),
+            '  private static final int X = 1, Y = f(2, 3);', chr(10),
+            case when p_partkey % 2 = 0 then
+              '  Map<String, List<Integer>> m = new HashMap<>(), n;' else '  int[] a = {{1, 2}}, b[];'
+              end, chr(10), '  Runnable r = () -> {{ int z = 1; }};', chr(10),
+            '  static {{ X = ', p_size, '; }}', chr(10),
+            '  J', p_partkey, '(int a, @Ann(x = 1) Map<K, V> b) {{ super(a); }}', chr(13), chr(10),
+            case when p_partkey % 7 = 0 then concat('  @Override', chr(10)) else chr(10) end,
+            '  public <R> List<R> go', p_size, '(final int n,', chr(10), chr(9),
+            '  String... s) throws IOException, E {{', chr(10),
+            '    for (int i = 0; i < n; i++) {{', chr(10),
+            repeat(concat('      if (a && b || c) {{ x("}}"); }} // }}', chr(10)),
+              cast(p_size % 6 as int)), '    }}', chr(10), chr(10),
+            '    List<?> q = null; int w = a ? 1 : 2; do {{ x(); }} while (y);', chr(10),
+            case when p_partkey % 6 = 0 then concat('    new Thread(new Runnable() {{ public void',
+              ' run() {{ int l; try {{ }} catch (E e) {{ }} }} }});', chr(10)) else '' end,
+            '    return "{{;";', chr(10), '  }}', chr(10),
+            case when p_partkey % 3 = 0 then '  abstract void sig(int k);' else
+              '  int one() {{ return 1; }} int two(char c) {{ return c == ''{{'' ? 2 : 3; }}' end, chr(10),
+            case p_partkey % 4
+              when 0 then '  class In {{ int f; void g() {{}} enum E {{ A, B(1) {{ void h() {{}} }}; int v; E() {{}} }} }}'
+              when 1 then '  interface Q extends A, B {{ int C = 1; void a(); default void d() {{ while (x) ; }} }}'
+              when 2 then '  enum P {{ ONE, TWO; final int v = 1; P() {{}} int v() {{ return v; }} }}'
+              else '  @interface N {{ String v() default ""; }}' end, chr(10),
+            case when p_partkey % 11 = 0 then '  void open() {{ if (x) {{' else concat('}}', chr(10)) end)
+          as text
+        from {part}""",
+    # Whole documents with a class around them, whose last method holds the text.
+    "v_coded_document": """
+        select repository, file, concat('class ', replace(file, '.java', ''), ' {{ int a, b; ',
+          'void f(int i) {{ g(i); }}', chr(10), 'String held(List<A, B> l, int k) {{', chr(10),
+          replace(text, chr(39), ' '), chr(10), '}} }}') as text
+        from {v_document}""",
     # Whole documents with a type declaration after them.
     "v_declaring_document": """
         select repository, file, concat(replace(text, chr(39), ' '), chr(10), ';abstract class ',
