@@ -1,9 +1,10 @@
 """Mixing sources to target weights by fitting a subset sum to each source's budget.
 
-Documents are counted by source and exact length. A source that needs more than it has
-takes whole repeats first. What is left of the budget is spread over the lengths in
-proportion, and the rest is filled exactly by a bounded-knapsack dynamic program over the
-lengths still available. Which documents of a length are taken is decided by a seeded hash.
+Documents are counted by source and exact length, and each may be taken several times. The
+budget is spread over the lengths in proportion, and what rounding leaves is filled by a
+bounded-knapsack dynamic program over the copies still available, to the nearest sum on either
+side. Where that misses the budget, more of it is left to the program. Which documents of a
+length are taken once more than the others is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -88,26 +89,43 @@ def targets(rows: DataFrame, weights: list[int], most: int) -> DataFrame:
     return sources.select("key", "words", wanted.alias("target"))
 
 
-def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int) -> np.ndarray:
-    """How many documents of each length to take, so that their words come to ``budget``.
+def fill(
+    lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int, most: int = 1
+) -> np.ndarray:
+    """How many copies of each length to take, so that their words come to ``budget``.
 
-    The total is the budget wherever a subset of the lengths reaches it, else the nearest
-    sum found. ``lengths`` are positive, distinct and ascending.
+    A length has ``most`` copies of each of its documents. The total is the budget wherever
+    the program finds choices that reach it, else the nearest sum found. ``lengths`` are
+    positive, distinct and ascending.
     """
     words = int((lengths * counts).sum())
-    if budget >= words:
-        return counts.copy()
-    spread = _filled(lengths, counts, counts * budget // max(words, 1), budget, limit)
-    missed = abs(budget - int((lengths * spread).sum()))
-    if not missed:
-        return spread
+    copies = most * counts
+    if budget >= most * words:
+        return copies
+    best, missed = np.zeros_like(counts), budget
+    # Small sources are left to the program whole in the end.
+    for slack in (0, limit // 16, limit // 4, limit):
+        full, part = divmod(max(0, budget - slack), words)
+        spread = full * counts + (counts.astype(object) * part // words).astype(np.int64)
+        best, missed = _better(lengths, copies, spread, budget, limit, best, missed)
+        if not missed:
+            return best
     # Few and long texts may fit only if they come before the spread.
     packed, rest = np.zeros_like(counts), budget
     for i in np.flatnonzero(lengths > limit)[::-1]:
-        packed[i] = min(int(counts[i]), rest // int(lengths[i]))
+        packed[i] = min(int(copies[i]), rest // int(lengths[i]))
         rest -= int(packed[i] * lengths[i])
-    packed = _filled(lengths, counts, packed, budget, limit)
-    return packed if abs(budget - int((lengths * packed).sum())) < missed else spread
+    return _better(lengths, copies, packed, budget, limit, best, missed)[0]
+
+
+def _better(
+    lengths: np.ndarray, copies: np.ndarray, start: np.ndarray, budget: int, limit: int,
+    best: np.ndarray, missed: int,
+) -> tuple[np.ndarray, int]:
+    """The better of the best choice so far and the one that begins with ``start``."""
+    taken = _filled(lengths, copies, start, budget, limit)
+    off = abs(budget - int((lengths * taken).sum()))
+    return (taken, off) if off < missed else (best, missed)
 
 
 def _filled(
@@ -128,32 +146,44 @@ def _filled(
                 more = 1
             taken[i] += more
             rest -= more * int(lengths[i])
-    taken += knapsack(lengths, counts - taken, min(rest, limit))
-    rest = budget - int((lengths * taken).sum())
-    spare = np.flatnonzero(taken < counts)
-    if len(spare) and abs(int(lengths[spare[0]]) - rest) < rest:
-        taken[spare[0]] += 1
-    return taken
+    budget_left = min(rest, limit)
+    return taken + nearest(lengths, counts - taken, budget_left)
 
 
-def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Multiplicities within ``counts`` whose sum is the largest one up to ``budget``.
+def nearest(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """Multiplicities whose sum is nearest to the budget, on either side of it."""
+    below = knapsack(lengths, counts, budget, budget)
+    gap = budget - int((lengths * below).sum())
+    if gap <= 1:
+        return below
+    above = knapsack(lengths, counts, budget, budget + gap - 1)
+    return above if abs(budget - int((lengths * above).sum())) < gap else below
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, top: int) -> np.ndarray:
+    """Multiplicities within ``counts`` whose sum, up to ``top``, is nearest to ``budget``.
 
     Reachable sums are the bits of an integer. Multiplicities are split into powers of two,
     and the sums before each step are kept to trace the choice back.
     """
-    mask, reach = (1 << (budget + 1)) - 1, 1
+    mask, reach = (1 << (top + 1)) - 1, 1
     steps: list[tuple[int, int, int]] = []
     for i, length in enumerate(lengths.tolist()):
-        left, part = min(int(counts[i]), budget // length), 1
+        left, part = min(int(counts[i]), top // length), 1
         while left > 0 and not reach >> budget & 1:
             part = min(part, left)
-            steps.append((i, part, reach))
-            reach |= reach << part * length & mask
+            grown = reach | reach << part * length & mask
+            if grown != reach:
+                steps.append((i, part, reach))
+            reach = grown
             left, part = left - part, part * 2
-        if length > budget or reach >> budget & 1:
+        if length > top or reach >> budget & 1:
             break
-    at, chosen = reach.bit_length() - 1, np.zeros_like(counts)
+    lower = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    higher = reach >> (budget + 1)
+    upper = budget + (higher & -higher).bit_length() if higher else None
+    at = lower if upper is None or budget - lower <= upper - budget else upper
+    chosen = np.zeros_like(counts)
     for i, part, before in reversed(steps):
         if not before >> at & 1:
             chosen[i] += part
@@ -162,20 +192,19 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 
 def plan(frames: Iterable[pd.DataFrame], most: int, limit: int) -> pd.DataFrame:
-    """Repeats and picks for the lengths of one source."""
+    """Copies of every document of a length, and how many of them are taken once more."""
     (frame,) = frames
     frame = frame.sort_values("size", ignore_index=True)
-    words, target = int(frame["words"][0]), float(frame["target"][0])
-    full = min(most, int(target // words)) if words else 0
-    budget = round(target - full * words) if full < most else 0
     used = (frame["size"] > 0).to_numpy()
-    picks = np.zeros(len(frame), np.int64)
-    picks[used] = fill(
-        frame["size"].to_numpy()[used], frame["n"].to_numpy()[used], budget, limit
+    numbers = frame["n"].to_numpy()
+    copies = np.zeros(len(frame), np.int64)
+    copies[used] = fill(
+        frame["size"].to_numpy()[used], numbers[used], round(float(frame["target"][0])), limit, most
     )
     return pd.DataFrame(
         {"missing": frame["missing"], "name": frame["name"], "size": frame["size"],
-         "words": frame["words"], "target": frame["target"], "full": full, "picks": picks}
+         "words": frame["words"], "target": frame["target"], "full": copies // numbers,
+         "picks": copies % numbers}
     )
 
 
@@ -214,28 +243,28 @@ def mix(
         fit, "missing boolean, name string, size long, words long, target double, "
         "full long, picks long"
     )
-    order = F.xxhash64("id", F.lit(seed))
-    rows = rows.withColumn("cell", F.pmod(order, F.lit(CELLS)).cast("int")).withColumn(
-        "order", F.xxhash64("id", "text_hash", F.lit(seed))
+    order = F.xxhash64("id", "text_hash", F.lit(seed))
+    ranked = rows.where("size > 0").withColumn("order", order).withColumn(
+        "cell", F.pmod("order", F.lit(CELLS)).cast("int")
     )
     before = Window.partitionBy("key", "size").orderBy("cell").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    cells = rows.groupBy("key", "size", "cell").agg(F.count("*").alias("n")).select(
+    cells = ranked.groupBy("key", "size", "cell").agg(F.count("*").alias("n")).select(
         "key", "size", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")
     )
     plans = plans.select(
         F.struct("missing", "name").alias("key"), "size", "words", "target", "full", "picks"
     )
-    cells = cells.join(plans, ["key", "size"])
     within = Window.partitionBy("key", "size", "cell").orderBy("order", "id", "text_hash")
+    rank = F.col("earlier") + F.row_number().over(within)
     picked = (
-        rows.join(cells, ["key", "size", "cell"])
-        .withColumn("rank", F.col("earlier") + F.row_number().over(within))
-        .withColumn("copies", F.col("full") + (F.col("rank") <= F.col("picks")).cast("long"))
-    )
-    return picked.select(
-        common.real_id(F.col("id")).alias("id"), "source", "text_hash", "size",
-        F.col("words").alias("source_size"), "target",
-        (F.col("size") * F.col("copies")).alias("taken"),
+        ranked.join(cells.join(plans, ["key", "size"]), ["key", "size", "cell"])
+        .withColumn("copies", F.col("full") + (rank <= F.col("picks")).cast("long"))
     )
+    # Nothing of a text without words can be taken, so these need no rank.
+    idle = rows.where("size = 0").join(plans, ["key", "size"])
+    columns = ["id", "source", "text_hash", "size", F.col("words").alias("source_size"), "target"]
+    return picked.select(*columns, (F.col("size") * F.col("copies")).alias("taken")).unionByName(
+        idle.select(*columns, F.lit(0).cast("long").alias("taken"))
+    ).withColumn("id", common.real_id("id"))

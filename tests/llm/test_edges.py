@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -336,3 +338,31 @@ def test_stages_keep_the_columns(spark, docs, stage):
 def test_pipeline_runs_through(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(row.n_tokens == len(row.ids) for row in rows)
+
+
+def test_mixing_choice_is_the_nearest_sum():
+    """Against every choice of up to so many copies of each document."""
+    random.seed(3)
+    for _ in range(300):
+        lengths = sorted(random.sample(range(1, 40), random.randint(1, 5)))
+        counts = [random.randint(1, 3) for _ in lengths]
+        most = random.randint(1, 3)
+        budget = random.randint(0, most * sum(map(int.__mul__, lengths, counts)))
+        taken = mixing.fill(np.array(lengths), np.array(counts), budget, mixing.DP_WORDS, most)
+        assert (taken <= most * np.array(counts)).all()
+        sums = {
+            sum(map(int.__mul__, lengths, choice))
+            for choice in itertools.product(*[range(most * n + 1) for n in counts])
+        }
+        got = int((np.array(lengths) * taken).sum())
+        assert abs(got - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_many_rows_without_an_id_or_words_are_mixed(spark):
+    rows = spark.range(50_000).selectExpr(
+        "cast(null as long) doc_id", "if(id % 2 = 0, '', concat('w ', id)) text",
+        "if(id % 3 = 0, 'a', 'b') source")
+    totals = mixing.mix(rows, [5, 2]).groupBy("source").agg(
+        {"taken": "sum", "target": "max", "size": "count"}).collect()
+    assert sum(row["count(size)"] for row in totals) == 50_000
+    assert all(abs(row["sum(taken)"] - row["max(target)"]) <= 1 for row in totals)
