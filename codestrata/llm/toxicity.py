@@ -1,20 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is cut
-into windows, and each window is compressed with either dictionary: the fewer bytes the
-toxic one needs, the more toxic the window. A text's evidence comes from its windows above
-a calibrated threshold, and a logistic curve fitted on texts kept aside turns it into a
-score.
-
-A toxic text is mostly ordinary, so the toxic dictionary is trained on the windows that
-toxic texts hold more often than chance allows, and ordinary windows that it shortens all
-the same are added to the ordinary dictionary.
+Two zstandard dictionaries are trained, one on windows of toxic and one on windows of ordinary
+running text. A text is cut into windows, and each window is compressed with either
+dictionary: the fewer bytes the toxic one needs, the more toxic the window. A text's evidence
+is the sum over its windows above a calibrated threshold, and that sum by the text's length. A
+logistic curve fitted on texts kept aside turns both into a score, so a long text is not toxic
+for a few chance matches.
+
+A toxic text is mostly ordinary, so the toxic dictionary is trained on those of its windows
+that hold a sequence of bytes which more toxic documents hold than chance allows. Ordinary
+words that it shortens all the same are added to the ordinary dictionary.
 """
 
 from __future__ import annotations
 
 import random
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,16 +36,28 @@ ORDINARY_DOCUMENTS = 4000
 SAMPLE_TEXT_BYTES = 1 << 15
 DICTIONARY_BYTES = 1 << 13
 CARRIER_BYTES = 24
-TOXIC_DICTIONARY_BYTES = 1 << 13
-SEGMENT_BYTES = 16
-# A window must be found in more places than this to be learnt as toxic.
-MIN_PLACES = 2
+# Sizes of the toxic dictionary that are tried.
+TOXIC_DICTIONARY_BYTES = (1 << 11, 1 << 12)
+SEGMENT_BYTES = 24
+# Words of a window that a dictionary is trained on, and the windows of ordinary text.
+TRAINING_WORDS = 3
+ORDINARY_WINDOWS = 30_000
+# One of so many sampled texts is kept aside for the calibration.
+KEPT_ASIDE = 4
+# Sequences of so many bytes, with the gaps around a word, are counted by documents.
+GRAM_BYTES = 8
+# A toxic sequence is found in so many toxic documents at least,
+MIN_DOCUMENTS = 4
 # ... and by so many standard deviations more often than chance allows.
 EXCESS = 4.5
+# Documents whose sequences are counted together.
+COUNTED_DOCUMENTS = 500
 LEVEL = 7
-ROUNDS = 1
-# Ordinary windows added to the ordinary dictionary in a round.
-CONFUSED_WINDOWS = 1000
+ROUNDS = 2
+# Ordinary words added to the ordinary dictionary in a round.
+CONFUSED_WORDS = 3000
+# Evidence by length is that of so many words.
+RATE_WORDS = 50
 # Words whose lengths a task remembers.
 REMEMBERED = 1 << 19
 BATCH_BYTES = 8 << 20
@@ -60,11 +72,16 @@ class Model:
     toxic: bytes
     threshold: int
     slope: float
+    rate_slope: float
     middle: float
 
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        line = evidence @ np.array([self.slope, self.rate_slope]) - self.middle
+        return 1 / (1 + np.exp(-np.clip(line, -700, 700)))
+
 
 # Without both labels there is nothing to learn, and every score is low.
-NEUTRAL = Model(b"        ", b"        ", 1 << 30, 1.0, 10.0)
+NEUTRAL = Model(b"        ", b"        ", 1 << 30, 1.0, 0.0, 10.0)
 
 
 def windows(texts: pa.Array) -> pa.ListArray:
@@ -121,144 +138,197 @@ class Gains:
         return np.fromiter(map(self, values.to_pylist()), np.int64, len(values))
 
 
-def evidence(texts: pa.Array, gains: Gains, threshold: int) -> np.ndarray:
-    """Sum of the gains above the threshold, damped, per text; blank texts have none."""
+@dataclass(frozen=True)
+class Weighed:
+    """Gains of the windows of several texts, the text of each, and the windows of a text."""
+
+    gains: np.ndarray
+    owners: np.ndarray
+    lengths: np.ndarray
+
+    def evidence(self, threshold: int) -> np.ndarray:
+        """Gains above the threshold per text, in all and by length, both damped.
+
+        Blank texts have none.
+        """
+        strong = self.gains >= threshold
+        total = np.bincount(self.owners[strong], self.gains[strong], len(self.lengths))
+        # A short text counts as one of RATE_WORDS words.
+        rate = RATE_WORDS * total / np.maximum(self.lengths, RATE_WORDS)
+        return np.stack([np.log1p(total), np.log1p(rate)], axis=1)
+
+
+def weighed(texts: pa.Array, gains: Gains) -> Weighed:
     parts = windows(texts)
     coded = pc.list_flatten(parts).dictionary_encode()
     owners = pc.list_parent_indices(parts).to_numpy()
-    total = np.zeros(len(texts), np.float64)
-    if len(coded):
-        gain = gains.of(trimmed(coded.dictionary))
-        strong = np.where(gain >= threshold, gain, 0)[coded.indices.to_numpy()]
-        np.add.at(total, owners[strong > 0], strong[strong > 0].astype(np.float64))
-    return np.log1p(total)
+    own = gains.of(trimmed(coded.dictionary))[coded.indices.to_numpy()]
+    return Weighed(own, owners, np.bincount(owners, minlength=len(texts)))
 
 
-def _counted(texts: list[str]) -> Counter:
-    """Number of different neighbourhoods of each window: the windows before and after it.
+@dataclass
+class Counted:
+    """Words of the sample in order, and which of them hold a toxic sequence of bytes."""
 
-    Copies of a passage share their neighbourhoods, so a passage counts once however many
-    texts hold it, while a word that is put in many places counts each time.
-    """
-    lines = pa.array(sorted({line for text in texts for line in text.split("\n")}), pa.string())
-    parts = windows(lines)
+    words: list[str]
+    code: np.ndarray
+    owner: np.ndarray
+    marked: np.ndarray
+    ordinary_documents: np.ndarray
+
+
+def _counted(toxic: list[str], ordinary: list[str]) -> Counted:
+    """Marks the words that hold a sequence which toxic documents have in excess."""
+    parts = windows(pa.array(toxic + ordinary, pa.string()))
     coded = trimmed(pc.list_flatten(parts)).dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    if not len(codes):
-        return Counter()
-    inner = np.diff(pc.list_parent_indices(parts).to_numpy()) == 0
-    before, after = np.full(len(codes), -1), np.full(len(codes), -1)
-    before[1:][inner], after[:-1][inner] = codes[:-1][inner], codes[1:][inner]
-    size = len(words) + 1
-    places = np.unique((codes * size + before + 1) * size + after + 1)
-    found, numbers = np.unique(places // (size * size), return_counts=True)
-    counts = {words[c]: n for c, n in zip(found.tolist(), numbers.tolist(), strict=True)}
-    return Counter({word: n for word, n in counts.items() if word})
+    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    owner = pc.list_parent_indices(parts).to_numpy().astype(np.int64)
+    # Sequences of every word.
+    numbers: dict[bytes, int] = {}
+    flat, ends = [], [0]
+    for word in words:
+        data = b" " + word.encode() + b" "
+        if word:
+            flat += [numbers.setdefault(data[i : i + GRAM_BYTES], len(numbers))
+                     for i in range(max(1, len(data) - GRAM_BYTES + 1))]
+        ends.append(len(flat))
+    flat, ends = np.array(flat, np.int64), np.array(ends, np.int64)
+    found = np.zeros((2, max(1, len(numbers))), np.int64)
+    by_word = np.zeros(max(1, len(words)), np.int64)
+    for first in range(0, len(toxic) + len(ordinary), COUNTED_DOCUMENTS):
+        part = slice(*np.searchsorted(owner, [first, first + COUNTED_DOCUMENTS]))
+        pairs = np.unique(owner[part] * len(words) + code[part])
+        document, own = pairs // max(1, len(words)), pairs % max(1, len(words))
+        by_word += np.bincount(own[document >= len(toxic)], minlength=len(by_word))
+        sizes = np.diff(ends)[own]
+        place = np.repeat(ends[1:][own] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+        grams = np.unique(np.repeat(document, sizes) * len(numbers) + flat[place])
+        document, grams = grams // max(1, len(numbers)), grams % max(1, len(numbers))
+        for side in (0, 1):
+            here = grams[(document >= len(toxic)) == side]
+            found[side] += np.bincount(here, minlength=found.shape[1])
+    share = len(toxic) / max(1, len(toxic) + len(ordinary))
+    expected = np.maximum(found.sum(axis=0) * share, 1e-9)
+    excess = (found[0] - expected) / np.sqrt(expected)
+    good = (found[0] >= MIN_DOCUMENTS) & (excess > EXCESS)
+    hits = np.concatenate([[0], np.cumsum(good[flat])]) if len(flat) else np.zeros(1, np.int64)
+    return Counted(words, code, owner, hits[ends[1:]] > hits[ends[:-1]], by_word)
 
 
 def _joined(words: list[str]) -> bytes:
     return "".join(f" {word} " for word in words).encode()
 
 
-def _dictionary(counts: Counter, size: int) -> bytes:
-    """A dictionary for windows: as they stand where they fit, the commonest last.
-
-    Otherwise one is trained on them, each as often as it is found, in an order without
-    meaning, so that segments of frequent windows are kept.
-    """
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained on windows, no larger than an eighth of them."""
     import zstandard
 
-    content = _joined([word for word, _ in counts.most_common()[::-1]])
-    if len(content) > size:
-        # Beyond a certain number a window is learnt anyway.
-        flat = sorted(Counter({word: min(n, 300) for word, n in counts.items()}).elements())
-        random.Random(size).shuffle(flat)
-        samples = [_joined(flat[i : i + 8]) for i in range(0, len(flat), 8)]
-        try:
-            return zstandard.train_dictionary(size, samples, k=SEGMENT_BYTES, d=6).as_bytes()
-        except zstandard.ZstdError:
-            pass  # too little variety to train on
-    return content[-size:] or b"        "
+    samples = sorted(set(samples))
+    random.Random(size).shuffle(samples)  # an order without meaning
+    size = min(size, sum(map(len, samples)) // 8)
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT_BYTES, d=6).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        # Too little text to train on: as it stands, where it fits.
+        return b"".join(samples)[-max(size, 8) :] or b"        "
+
+
+def _windows_around(counted: Counted, at: np.ndarray) -> list[bytes]:
+    """Running text around words: so many words of the same document."""
+    before = (TRAINING_WORDS - 1) // 2
+    first = np.searchsorted(counted.owner, counted.owner[at])
+    last = np.searchsorted(counted.owner, counted.owner[at], side="right")
+    begins = np.maximum(first, at - before).tolist()
+    ends = np.minimum(last, at - before + TRAINING_WORDS).tolist()
+    return [_joined([counted.words[c] for c in counted.code[a:b].tolist()])
+            for a, b in zip(begins, ends, strict=True)]
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Trains on two thirds of the texts, calibrates on the rest, and trains again on all.
+    """Trains on most of the texts and calibrates on the others.
 
-    The threshold for a window, and whether ordinary windows are added to the ordinary
-    dictionary, are what classifies the texts kept aside best.
+    The size of the toxic dictionary, the rounds in which ordinary words join the ordinary one,
+    the threshold for a window and the curve are what classifies the texts kept aside best. The
+    dictionaries are not trained again on all texts: the curve would no longer fit them.
     """
     train_t, train_o = [
-        [text for i, text in enumerate(side) if i % 3] for side in (toxic, ordinary)
+        [text for i, text in enumerate(side) if i % KEPT_ASIDE] for side in (toxic, ordinary)
     ]
-    held = [(text, 1) for i, text in enumerate(toxic) if i % 3 == 0]
-    held += [(text, 0) for i, text in enumerate(ordinary) if i % 3 == 0]
-    tried = []
-    for rounds, (plain, marked) in enumerate(_dictionaries(train_t, train_o, ROUNDS)):
-        quality, threshold, slope, middle = _calibrated(plain, marked, held)
-        tried.append((quality, -rounds, threshold, slope, middle))
-    _, rounds, threshold, slope, middle = max(tried)
-    plain, marked = _dictionaries(toxic, ordinary, -rounds)[-1]
-    return Model(plain, marked, threshold, slope, middle)
-
-
-def _dictionaries(
-    toxic: list[str], ordinary: list[str], rounds: int
-) -> list[tuple[bytes, bytes]]:
-    """The ordinary and the toxic dictionary, before and after each round."""
-    bad, good = _counted(toxic), _counted(ordinary)
-    share = sum(bad.values()) / max(1, sum(good.values()))
-    kept = Counter({
-        w: n for w, n in bad.items()
-        if n > MIN_PLACES and _excess(n, good[w], share) > EXCESS
-    })
-    marked = _dictionary(kept, TOXIC_DICTIONARY_BYTES)
-    found = [(_dictionary(good, DICTIONARY_BYTES), marked)]
-    for _ in range(rounds):
-        gains = Gains(found[-1][0], marked)
-        taken = Counter({w: n for w, n in good.items() if w not in kept and gains(w) > 1})
-        # Ordinary windows that the toxic dictionary shortens join the ordinary side.
-        more = _joined([word for word, _ in taken.most_common(CONFUSED_WINDOWS)[::-1]])
-        found.append((found[-1][0] + more, marked))
-    return found
-
-
-def _excess(toxic: int, ordinary: int, share: float) -> float:
-    """Standard deviations by which toxic texts hold a window more often than by chance."""
-    expected = (toxic + ordinary) * share / (1 + share)
-    return (toxic - expected) / expected**0.5
+    held = [(text, 1) for i, text in enumerate(toxic) if i % KEPT_ASIDE == 0]
+    held += [(text, 0) for i, text in enumerate(ordinary) if i % KEPT_ASIDE == 0]
+    best, model = -1.0, NEUTRAL
+    for plain, marked in _dictionaries(train_t, train_o):
+        quality, *curve = _calibrated(plain, marked, held)
+        if quality > best:
+            best, model = quality, Model(plain, marked, *curve)
+    return model
+
+
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> Iterator[tuple[bytes, bytes]]:
+    """Ordinary and toxic dictionaries of every size, before and after each round."""
+    counted = _counted(toxic, ordinary)
+    ordinary_place = int(np.searchsorted(counted.owner, len(toxic)))
+    at = np.flatnonzero(counted.marked[counted.code[:ordinary_place]])
+    toxic_windows = _windows_around(counted, at)
+    # Windows of ordinary text, evenly over all of it.
+    step = max(TRAINING_WORDS, (len(counted.code) - ordinary_place) // ORDINARY_WINDOWS)
+    at = np.arange(ordinary_place, len(counted.code), step)
+    first = _trained(_windows_around(counted, at), DICTIONARY_BYTES)
+    common_first = np.argsort(-counted.ordinary_documents, kind="stable")
+    others = [counted.words[c] for c in common_first.tolist()
+              if counted.ordinary_documents[c] and not counted.marked[c]]
+    for size in TOXIC_DICTIONARY_BYTES:
+        plain, marked = first, _trained(toxic_windows, size)
+        yield plain, marked
+        for _ in range(ROUNDS):
+            gains = Gains(plain, marked)
+            taken = [word for word in others if gains(word) > 1][:CONFUSED_WORDS]
+            plain += _joined(taken[::-1])
+            yield plain, marked
 
 
 def _calibrated(
     plain: bytes, marked: bytes, held: list[tuple[str, int]]
-) -> tuple[float, int, float, float]:
-    """The best quality (F1 at a score of 0.3), its threshold, slope and offset."""
+) -> tuple[float, int, float, float, float]:
+    """The best quality (F1 at a score of 0.3), its threshold, slopes and offset."""
     gains = Gains(plain, marked)
     texts = pa.array([text for text, _ in held], pa.string())
     truth = np.array([label for _, label in held], np.float64)
-    best = (-1.0, 1 << 30, 1.0, 10.0)
-    for threshold in range(1, 7):
-        values = evidence(texts, gains, threshold)
-        slope, middle = _logistic(values, truth)
-        guess = 1 / (1 + np.exp(-(slope * values - middle))) >= 0.3
+    best = (-1.0, 1 << 30, 1.0, 0.0, 10.0)
+    found = weighed(texts, gains)
+    for threshold in range(1, 8):
+        values = found.evidence(threshold)
+        curve = _logistic(values, truth)
+        guess = Model(plain, marked, threshold, *curve).score(values) >= 0.3
         hits = float((guess & (truth == 1)).sum())
         quality = 2 * hits / max(1.0, float(guess.sum() + truth.sum()))
         if quality > best[0]:
-            best = quality, threshold, slope, middle
+            best = (quality, threshold, *curve)
     return best
 
 
-def _logistic(values: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve with a small penalty, by Newton's steps."""
-    design = np.stack([values, -np.ones_like(values)], axis=1)
-    weights, penalty = np.zeros(2), np.diag([0.01, 0.01])
-    for _ in range(50):
-        chance = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        curve = (design * (chance * (1 - chance))[:, None]).T @ design + penalty
-        step = np.linalg.solve(curve, design.T @ (truth - chance) - penalty @ weights)
-        weights = weights + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+def _logistic(values: np.ndarray, truth: np.ndarray) -> tuple[float, float, float]:
+    """Slopes and offset of a logistic curve with a small penalty, by Newton's steps.
+
+    Slopes are not negative: more evidence never lowers a score.
+    """
+    used = [0, 1]
+    while True:
+        design = np.column_stack([values[:, used], -np.ones(len(values))])
+        weights, penalty = np.zeros(len(used) + 1), np.diag([0.01] * (len(used) + 1))
+        for _ in range(50):
+            chance = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
+            curve = (design * (chance * (1 - chance))[:, None]).T @ design + penalty
+            step = np.linalg.solve(curve, design.T @ (truth - chance) - penalty @ weights)
+            weights = weights + np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-6:
+                break
+        wrong = [k for k, weight in zip(used, weights, strict=False) if weight < 0]
+        if not wrong:
             break
-    return max(float(weights[0]), 1e-6), float(weights[1])
+        used = [k for k in used if k != wrong[0]]
+    slopes = dict(zip(used, weights.tolist(), strict=False))
+    return slopes.get(0, 0.0), slopes.get(1, 0.0), float(weights[-1])
 
 
 def is_held_out(id_column: Column) -> Column:
@@ -294,7 +364,10 @@ def train(
         )
         sides.append(rows.select(F.lit(1).alias("sample"), "label", "text"))
     # The sample has a fixed bound, so one task trains on it; the driver gets the model.
-    schema = "ordinary binary, toxic binary, threshold long, slope double, middle double"
+    schema = (
+        "ordinary binary, toxic binary, threshold long, slope double, rate_slope double,"
+        " middle double"
+    )
     sample = sides[0].unionByName(sides[1])
     row = sample.groupBy("sample").applyInArrow(_fitted, schema).first()
     return Model(*map(_plain, row)) if row else NEUTRAL
@@ -313,7 +386,8 @@ def _fitted(sample: pa.Table) -> pa.Table:
         "ordinary": pa.array([model.ordinary], pa.binary()),
         "toxic": pa.array([model.toxic], pa.binary()),
         "threshold": pa.array([model.threshold], pa.int64()),
-        "slope": pa.array([model.slope]), "middle": pa.array([model.middle]),
+        "slope": pa.array([model.slope]), "rate_slope": pa.array([model.rate_slope]),
+        "middle": pa.array([model.middle]),
     })
 
 
@@ -332,8 +406,8 @@ def score(
             gains = gains or Gains(model.ordinary, model.toxic)
             sizes = pc.binary_length(whole.column("text")).to_numpy(zero_copy_only=False)
             for batch in by_bytes(whole, sizes, BATCH_BYTES):
-                found = evidence(batch.column("text"), gains, model.threshold)
-                scores = 1 / (1 + np.exp(-(model.slope * found - model.middle)))
+                found = weighed(batch.column("text"), gains)
+                scores = model.score(found.evidence(model.threshold))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(scores)], ["id", "score"]
                 )

@@ -65,7 +65,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def model():
-    return toxicity.Model(b"        ", b"        ", 1, 1.0, 3.0)
+    return toxicity.Model(b"        ", b"        ", 1, 1.0, 0.0, 3.0)
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
@@ -366,3 +366,26 @@ def test_many_rows_without_an_id_or_words_are_mixed(spark):
         {"taken": "sum", "target": "max", "size": "count"}).collect()
     assert sum(row["count(size)"] for row in totals) == 50_000
     assert all(abs(row["sum(taken)"] - row["max(target)"]) <= 1 for row in totals)
+
+
+def test_toxicity_learns_from_few_texts_and_weighs_by_length():
+    """A few chance matches do not make a long text toxic; no text at all teaches nothing."""
+    rng = np.random.default_rng(9)
+    plain = [" ".join(f"word{x}" for x in rng.integers(0, 400, n))
+             for n in rng.integers(20, 500, 400)]
+    marks = ["vilest", "grubber"]
+    toxic = [" ".join(f"{word} {marks[i % 2]}" if i % 15 == 0 else word
+                      for i, word in enumerate(text.split())) for text in plain[:100]]
+    plain = [text + " vilest" if len(text) > 2000 and i % 3 else text
+             for i, text in enumerate(plain)]
+    model = toxicity.fit(toxic, plain[100:])
+    gains = toxicity.Gains(model.ordinary, model.toxic)
+
+    def score(text):
+        weighed = toxicity.weighed(pa.array([text]), gains)
+        return model.score(weighed.evidence(model.threshold))[0]
+
+    assert score(toxic[0]) >= 0.3 and score(" ".join(toxic)) >= 0.3
+    assert score(" ".join(plain)) < 0.3 and score("word1 word2 word3 " * 50) < 0.3
+    assert score("") < 0.3
+    assert toxicity._trained([], 4096) == b"        "
