@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings, not code, decide sizes on a cluster: AQE coalesces and splits shuffle
 # partitions from measured bytes. A first plan may broadcast a side whose files are
@@ -35,10 +37,25 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for tables written between stages.
 
     A cluster names it in ``spark.checkpoint.dir``; without it the folder is one of the
-    warehouse, which all executors reach as well.
+    warehouse, unless that is on a local disk, which the machines of a cluster do not share.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages").rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    on_disk = re.match(r"(?:file:|/|[^:/]+(?:/|\Z))", warehouse)
+    if on_disk and not re.match(r"local(?:\[|\Z)", spark.sparkContext.master):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+    return f"{warehouse.rstrip('/')}/_stages"
+
+
+def staged(frame: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, outlives executors."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/stage-{label}-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    remove_at_exit(spark, path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> None:

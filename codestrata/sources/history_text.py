@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codestrata.functions.names import repository_of, strip
 from codestrata.functions.numeric import coerce_count
 from codestrata.functions.text import line_slots, with_line_feeds
+from codestrata.operators.reachability import is_head, with_head
 from codestrata.schemas import columns
 from codestrata.sources.landed import position_in_source
 
@@ -27,12 +28,12 @@ def repository_from_file_name() -> Column:
 FIELD_MARK = "\x1f"
 
 
-def scan_commit_log(spark: SparkSession, every: str, head: str) -> DataFrame:
-    """``commit`` facts of two landed logs: all commits, and those the head reaches.
+def scan_commit_log(spark: SparkSession, every: str, head: str | None = None) -> DataFrame:
+    """``commit`` facts of a landed log of all commits.
 
-    A line of the first holds repository, commit id, parent ids, author name and address,
-    commit date and references, and one of the second repository and commit id, with
-    ``FIELD_MARK`` between them.
+    A line holds repository, commit id, parent ids, author name and address, commit date and
+    references, with ``FIELD_MARK`` between them. Which commits the head reaches is found from
+    their parents, unless a second log states it, with repository and commit id on a line.
     """
 
     def fields(path: str, *names: str) -> DataFrame:
@@ -42,16 +43,16 @@ def scan_commit_log(spark: SparkSession, every: str, head: str) -> DataFrame:
 
     commits = fields(every, "repository", "sha", "parents", "author_name", "author_email",
                      "committed_at_iso", "refs")
-    reached = fields(head, "repository", "sha").distinct().withColumn("on_head", F.lit(True))
     parents = F.filter(F.split("parents", " "), lambda parent: parent != "")
-    facts = {
-        "parent_count": F.size(parents),
-        "on_head": F.coalesce("on_head", F.lit(False)),
-        "is_head": F.rlike("refs", F.lit(r"(?:\A|, )HEAD(?: ->|,|\z)")),
-    }
-    return commits.join(reached, ["repository", "sha"], "left").select(
-        *(facts.get(name, F.col(name)).alias(name) for name in columns("commit"))
-    )
+    commits = commits.withColumn("parents", parents)
+    if head is None:
+        placed = with_head(commits)
+    else:
+        stated = fields(head, "repository", "sha").distinct().withColumn("on_head", F.lit(True))
+        placed = commits.join(stated, ["repository", "sha"], "left").withColumns({
+            "on_head": F.coalesce("on_head", F.lit(False)), "is_head": is_head(F.col("refs")),
+        })
+    return placed.withColumn("parent_count", F.size("parents")).select(*columns("commit"))
 
 
 def scan_change_log(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.operators import history, people
+from codestrata.operators import history, people, reachability
 from codestrata.operators.code import complexity_summary, file_complexity
 from codestrata.plans import hotspots as plan
 from workload.registry import query
@@ -164,3 +164,28 @@ COMPLEXITY = """
 @query(COMPLEXITY, "v_method")
 def complexity_by_repository(spark, sf_dir):
     return complexity_summary(load(spark, sf_dir, "v_method"))
+
+
+REACHED = """
+    select repository, sha, on_head, is_head from (
+      with recursive edges as (
+        select repository, sha, unnest(string_split(parents, ' ')) as parent
+        from v_commit_graph where parents <> ''),
+      reached as (
+        select repository, sha from v_commit_graph
+        where regexp_matches(refs, '(\\A|, )HEAD( ->|,|\\z)')
+        union
+        select e.repository, e.parent from reached r
+        join edges e on e.repository = r.repository and e.sha = r.sha)
+      select g.repository, g.sha, r.sha is not null as on_head,
+        regexp_matches(refs, '(\\A|, )HEAD( ->|,|\\z)') as is_head
+      from v_commit_graph g left join reached r
+      on g.repository = r.repository and g.sha = r.sha) found"""
+
+
+@query(REACHED, "v_commit_graph")
+def head_reachability(spark, sf_dir):
+    commits = load(spark, sf_dir, "v_commit_graph")
+    parents = F.filter(F.split("parents", " "), lambda parent: parent != "")
+    found = reachability.with_head(commits.withColumn("parents", parents))
+    return found.select("repository", "sha", "on_head", "is_head")

@@ -47,6 +47,23 @@ VIEWS = {
           select repository, max(moment) as moment from {v_order_commit}
           where on_head group by repository) h
         on c.repository = h.repository and c.moment = h.moment""",
+    # The same commits as a graph: side branches, some of them merged, and a second root.
+    "v_commit_graph": """
+        select repository, sha, author_name, author_email, committed_at_iso,
+          case when r in (1, 30) then '' when r = 31 then concat(p1, ' ', p2)
+            when r % 10 = 7 then coalesce(p3, '') when r % 10 = 8 then coalesce(p2, '')
+            when r % 20 = 9 then concat(p1, ' ', p2) else p1 end as parents,
+          case when r = head then 'HEAD -> main, tag: v1' when r % 10 = 7 then 'AHEAD' else ''
+            end as refs
+        from (
+          select *, max(case when r % 10 <> 7 then r end) over (partition by repository) as head
+          from (
+            select c.repository, c.sha, author_name, author_email, committed_at_iso,
+              row_number() over w as r, lag(c.sha, 1) over w as p1, lag(c.sha, 2) over w as p2,
+              lag(c.sha, 3) over w as p3
+            from {v_commit} c join {v_order_commit} o
+              on c.repository = o.repository and c.sha = cast(o.o_orderkey as string)
+            window w as (partition by c.repository order by o.moment)) numbered) headed""",
     "v_file_change": f"""
         select {_OWNED} as repository, cast(l_orderkey as string) as sha,
           l_orderkey as log_seq, concat('src/P', l_partkey, '.java') as file,
