@@ -37,7 +37,9 @@ def commit_summary(commits: DataFrame) -> DataFrame:
     )
     tallies = per_day.groupBy("repository").agg(
         F.sum("commits").alias("total_commits"),
-        F.count_if(F.col("commits") > 0).cast("int").alias("distinct_active_days"),
+        F.count_if((F.col("commits") > 0) & F.col("day").isNotNull())
+        .cast("int")
+        .alias("distinct_active_days"),
     )
     spans = first_and_last_commit(commits)
     started = iso_instant(F.col("first_commit"))
@@ -69,9 +71,13 @@ def first_and_last_commit(commits: DataFrame) -> DataFrame:
     )
 
 
-def developer_commits(commits: DataFrame) -> DataFrame:
-    """Non-merge commits of all branches per author identity."""
-    return (
+def developer_commits(commits: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """Non-merge commits of all branches per author identity.
+
+    With an author ``mapping``, identities are counted as written first, and the few that are
+    left are mapped and added up.
+    """
+    counted = (
         commits.filter(~is_merge())
         .groupBy(
             "repository",
@@ -80,6 +86,46 @@ def developer_commits(commits: DataFrame) -> DataFrame:
         )
         .agg(F.count(F.lit(1)).alias("commits"))
     )
+    if mapping is None:
+        return counted
+    return (
+        mapped_authors(counted, mapping, "developer", "email")
+        .groupBy("repository", "developer", "email")
+        .agg(F.sum("commits").alias("commits"))
+    )
+
+
+def mapped_authors(rows: DataFrame, mapping: DataFrame, name: str, email: str) -> DataFrame:
+    """Rows with their author's proper name and address, by a repository's author mapping.
+
+    Names and addresses are compared without regard to case. A line with both name and address
+    goes before one with the address alone; of lines for the same author the last one that
+    states a name, or an address, counts. What no line states stays as it is.
+    """
+    stated = {
+        part: F.max(F.when(F.col(part).isNotNull(), F.struct("place", part)))[part].alias(part)
+        for part in ("proper_name", "proper_email")
+    }
+    key = {"by_name": F.lower("commit_name"), "by_email": F.lower("commit_email")}
+    lines = mapping.select(
+        F.col("repository").alias("mapped_repository"), "place", "proper_name", "proper_email",
+        *(column.alias(alias) for alias, column in key.items()),
+    ).groupBy("mapped_repository", "by_name", "by_email").agg(*stated.values())
+    same_email = (F.col("repository") == F.col("mapped_repository")) & (
+        F.lower(email) == F.col("by_email"))
+    names = [F.struct("proper_name", "proper_email").alias("line")]
+    exact = lines.filter(F.col("by_name").isNotNull()).select(
+        "mapped_repository", "by_name", "by_email", *names)
+    general = lines.filter(F.col("by_name").isNull()).select(
+        "mapped_repository", "by_email", *names)
+    first = rows.join(exact, same_email & (F.lower(name) == F.col("by_name")), "left").select(
+        *rows.columns, F.col("line").alias("exact_line"))
+    both = first.join(general, same_email, "left").withColumn(
+        "line", F.coalesce("exact_line", "line"))
+    new = {name: "proper_name", email: "proper_email"}
+    return both.select(*(
+        F.coalesce(f"line.{new[c]}", c).alias(c) if c in new else F.col(c) for c in rows.columns
+    ))
 
 
 def file_churn(changes: DataFrame) -> DataFrame:

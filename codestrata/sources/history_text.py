@@ -120,3 +120,37 @@ def parse_author_summary(lines: DataFrame) -> DataFrame:
         strip(part(3)).alias("email"),
         part(1).cast("long").alias("commits"),
     )
+
+
+# Fixed value: a line of an author mapping file, with one or two names and addresses.
+MAPPING_LINE = r"\A\s*([^<#][^<]*?)?\s*<([^<>]*)>(?:\s*([^<]*?)\s*<([^<>]*)>)?"
+
+
+def scan_author_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """``author_mapping`` rows of mapping files, one file per repository."""
+    lines = spark.read.text(path).select(
+        repository_from_file_name().alias("repository"), position_in_source().alias("place"),
+        "value",
+    )
+    return parse_author_mapping(lines)
+
+
+def parse_author_mapping(lines: DataFrame) -> DataFrame:
+    """Mapping lines (``repository, place, value``) into proper and committed identities.
+
+    ``Name <address>`` states the name for an address, and with a second address before it,
+    the address too; a second name limits the line to commits with that name. Other lines, as
+    comments, are dropped.
+    """
+    def part(group: int) -> Column:
+        return F.nullif(strip(F.regexp_extract("value", MAPPING_LINE, group)), F.lit(""))
+
+    two = F.rlike("value", F.lit(MAPPING_LINE.removesuffix("?")))
+    return lines.filter(F.rlike("value", F.lit(MAPPING_LINE))).select(
+        "repository",
+        "place",
+        part(1).alias("proper_name"),
+        F.when(two, part(2)).alias("proper_email"),
+        F.when(two, part(3)).alias("commit_name"),
+        F.coalesce(F.when(two, part(4)).otherwise(part(2)), F.lit("")).alias("commit_email"),
+    )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.operators import history, people, reachability
+from codestrata.operators import commit_state, history, people, reachability
 from codestrata.operators.code import complexity_summary, file_complexity
 from codestrata.plans import hotspots as plan
+from codestrata.sources.history_text import parse_author_mapping
 from workload.registry import query
 from workload.views import load
 
@@ -189,3 +190,61 @@ def head_reachability(spark, sf_dir):
     parents = F.filter(F.split("parents", " "), lambda parent: parent != "")
     found = reachability.with_head(commits.withColumn("parents", parents))
     return found.select("repository", "sha", "on_head", "is_head")
+
+
+_LINE = r"'\A\s*([^<#][^<]*?)?\s*<([^<>]*)>(?:\s*([^<]*?)\s*<([^<>]*)>)?'"
+MAPPED = rf"""
+    with lines as (
+      select repository, place, regexp_extract(value, {_LINE}, 1) as a,
+        regexp_extract(value, {_LINE}, 2) as b, regexp_extract(value, {_LINE}, 3) as c,
+        regexp_extract(value, {_LINE}, 4) as d, regexp_matches(value, '<.*<.*>') as two
+      from v_author_mapping where regexp_matches(value, {_LINE})),
+    stated as (
+      select repository, lower(case when two then nullif(trim(c), '') end) as old_name,
+        lower(trim(case when two then d else b end)) as old_email,
+        arg_max(nullif(trim(a), ''), place) filter (where trim(a) <> '') as new_name,
+        arg_max(trim(b), place) filter (where two) as new_email
+      from lines group by 1, 2, 3)
+    select repository, developer, email, cast(sum(commits) as bigint) as commits from (
+      select d.repository, coalesce(case when x.repository is not null then x.new_name
+          else y.new_name end, d.developer) as developer,
+        coalesce(case when x.repository is not null then x.new_email else y.new_email end,
+          d.email) as email, d.commits
+      from ({DEVELOPERS}) d
+      left join stated x on x.repository = d.repository and x.old_email = lower(d.email)
+        and x.old_name = lower(d.developer)
+      left join stated y on y.repository = d.repository and y.old_email = lower(d.email)
+        and y.old_name is null) m
+    group by repository, developer, email"""
+
+
+@query(f"select * from ({MAPPED}) mapped", "v_commit", "v_author_mapping")
+def mapped_developer_commits(spark, sf_dir):
+    mapping = parse_author_mapping(load(spark, sf_dir, "v_author_mapping"))
+    return history.developer_commits(load(spark, sf_dir, "v_commit"), mapping)
+
+
+def _fetched(spark, sf_dir) -> commit_state.State:
+    """The log as three fetches, whose states are merged."""
+    commits, changes = load(spark, sf_dir, "v_commit"), load(spark, sf_dir, "v_file_change")
+    return commit_state.merged(*(
+        commit_state.state_of(
+            commits.where(F.crc32("sha") % 3 == part), changes.where(F.crc32("sha") % 3 == part), part
+        )
+        for part in range(3)
+    ))
+
+
+@query(COMMIT_SUMMARY, "v_commit")
+def merged_commit_summary(spark, sf_dir):
+    return commit_state.commit_summary(_fetched(spark, sf_dir))
+
+
+@query(DEVELOPERS, "v_commit")
+def merged_developer_commits(spark, sf_dir):
+    return _fetched(spark, sf_dir).developers
+
+
+@query(_CHURN, "v_file_change")
+def merged_file_churn(spark, sf_dir):
+    return _fetched(spark, sf_dir).files

@@ -47,6 +47,26 @@ VIEWS = {
           select repository, max(moment) as moment from {v_order_commit}
           where on_head group by repository) h
         on c.repository = h.repository and c.moment = h.moment""",
+    # Lines of author mapping files: all forms, other cases, comments, and later lines.
+    "v_author_mapping": f"""
+        select {_OWNED} as repository, c_custkey * 2 as place,
+          case c_custkey % 8
+            when 0 then concat('Team ', c_custkey % 3, ' <team', c_custkey % 3,
+              '@example.org> <DEV', c_custkey, '@example.org>')
+            when 1 then concat('  Renamed ', c_custkey % 5, '  <dev', c_custkey, '@Example.org> # x')
+            when 2 then concat('<team1@example.org> <dev', c_custkey, '@example.org>')
+            when 3 then concat('Team 1 <team1@example.org> DEV ', c_custkey, ' <dev', c_custkey,
+              '@example.org>')
+            when 4 then concat('Nobody <no@example.org> other name <dev', c_custkey, '@example.org>')
+            when 5 then concat('# Hidden <team1@example.org> <dev', c_custkey, '@example.org>')
+            when 6 then 'no address here' else '' end as value
+        from {{customer}}
+        union all
+        select {_OWNED}, c_custkey * 2 + 1, case c_custkey % 3
+          when 0 then concat('Later ', c_custkey % 4, ' <dev', c_custkey, '@example.org>')
+          when 1 then concat('<team2@example.org> <dev', c_custkey, '@example.org>')
+          else concat('Team 2 <dev', c_custkey, '@example.net>') end
+        from {{customer}}""",
     # The same commits as a graph: side branches, some of them merged, and a second root.
     "v_commit_graph": """
         select repository, sha, author_name, author_email, committed_at_iso,
