@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions.names import strip
-from codestrata.schemas import PUBLISHED, columns
+from codestrata.schemas import PUBLISHED, SCHEMAS, columns
 from codestrata.sources.landed import empty_table
 
 
@@ -30,6 +30,29 @@ def write_parquet(rows: DataFrame, path: str, table: str) -> None:
     rows.select(*columns(table)).write.mode("overwrite").parquet(path)
 
 
+def replace_repositories(rows: DataFrame, path: str, table: str) -> None:
+    """Lands the rows of some repositories and leaves those of all others as they are.
+
+    The table is partitioned by its key, and only partitions with new rows are overwritten,
+    which Spark does in one step when all tasks have ended. Rows of one repository are spread
+    over several files if they are many. A repository without new rows keeps its old ones, and
+    a blank key is no key.
+    """
+    (
+        rows.select(*columns(table))
+        .hint("rebalance", "repository")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("repository")
+        .parquet(path)
+    )
+
+
+def scan_replaced(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table landed by ``replace_repositories``, with its columns in their order."""
+    return spark.read.schema(SCHEMAS[table]).parquet(path).select(*columns(table))
+
+
 def write_nothing(spark: SparkSession, path: str, table: str) -> None:
     """Landing of a collector that had no data: a header and no rows."""
     write_csv(empty_table(spark, table).coalesce(1), path, table)

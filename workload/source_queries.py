@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,11 +15,13 @@ from codestrata.session import remove_at_exit, shared_folder
 from codestrata.sinks.tables import (
     consolidate,
     normalise_key,
+    replace_repositories,
+    scan_replaced,
     write_csv,
     write_nothing,
     write_repository_list,
 )
-from codestrata.sources import history_text, hosting, landed, trees
+from codestrata.sources import history_text, hosting, landed, listing, trees
 from workload.code_queries import STRUCTURE, line_classes_sql
 from workload.history_queries import DEVELOPERS
 from workload.registry import query
@@ -419,3 +422,60 @@ def stripped_keys(spark, sf_dir):
     padded = F.concat(F.lit(" \t"), F.lit("o/"), "c_custkey", F.lit(" \n"))
     rows = load(spark, sf_dir, "customer").select(padded.alias("repository"))
     return normalise_key(rows).distinct()
+
+
+def write_tree(spark, sf_dir):
+    """Files of every source, and what marks a checkout in every second repository."""
+    root = temporary_folder(spark, "tree").removeprefix("file:")
+    rows = load(spark, sf_dir, "v_tree_source")
+    below = F.concat(folder_of(F.col("repository")), F.lit("/"), F.col("file"))
+    marked = rows.where(F.length("repository") % 2 == 0).select("repository").distinct()
+    head = F.concat(folder_of(F.col("repository")), F.lit("/.git/HEAD"))
+    inner = F.concat(folder_of(F.col("repository")), F.lit("/.git/objects/Hidden.java"))
+    files = (
+        rows.select(below.alias("file"), "text")
+        .unionByName(marked.select(head.alias("file"), F.lit("ref").alias("text")))
+        .unionByName(marked.select(inner.alias("file"), F.lit("class X {}").alias("text")))
+    )
+
+    def written(batches):
+        for batch in batches:
+            for file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = f"{root}/{file}"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w", newline="") as target:
+                    target.write(text)
+            yield batch
+
+    files.mapInArrow(written, files.schema).write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query("select repository, file, text from v_tree_source", "v_tree_source")
+def tree_sources(spark, sf_dir):
+    return listing.scan_tree_sources(spark, write_tree(spark, sf_dir))
+
+
+@query(
+    """select distinct repository from v_tree_source where length(repository) % 2 = 0""",
+    "v_tree_source",
+)
+def tree_repositories(spark, sf_dir):
+    root = write_tree(spark, sf_dir)
+    return trees.discover_repositories(listing.list_tree(spark, root), root)
+
+
+@query(
+    """select repository, file, type_name, kind, is_abstract, is_interface,
+          case when repository like '1%' then methods else -1 end as methods, attributes,
+          extends, implements from v_structure""",
+    "v_structure",
+)
+def repository_replacement(spark, sf_dir):
+    """A landing of all repositories, and then one of some, with other values."""
+    path = temporary_folder(spark, "replacement")
+    rows = load(spark, sf_dir, "v_structure")
+    replace_repositories(rows.withColumn("methods", F.lit(-1)), path, "structure")
+    again = rows.where(F.startswith("repository", F.lit("1")))
+    replace_repositories(again, path, "structure")
+    return scan_replaced(spark, path, "structure")

@@ -221,6 +221,11 @@ VIEWS = {
           replace(replace(file, '.java', ''), 'doc', 'D'), '<T> extends Base<', repository,
           '> implements I, J<K> {{') as text
         from {v_document}""",
+    # The same sources, some under names that listings tend to hide.
+    "v_tree_source": """
+        select repository, case length(file) % 3 when 0 then concat('.h/', file)
+          when 1 then concat('src/_', replace(file, '/', '_')) else file end as file, text
+        from {v_source}""",
     # The same sources under the names that line-count reports use.
     "v_part_source": """
         select concat('o/', split_part(repository, '/', 1)) as repository, file, text
