@@ -1,7 +1,8 @@
 """Line dedup: lines found in many documents are dropped from all but one of them.
 
-Normalised lines are exploded and hashed, distinct documents are counted per hash, and each
-document is put together again, in order, from the lines that stay.
+Normalised lines are exploded with their positions and hashed, distinct documents are counted
+per hash, and each text is put together again by position from what stands between the lines
+that it loses.
 """
 
 from __future__ import annotations
@@ -21,38 +22,59 @@ def line_hash(key: Column) -> Column:
     return F.unhex(F.md5(key))
 
 
+def text_key(text: Column) -> list[Column]:
+    """Two hashes that tell the texts of one id apart."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def repeated_lines(
     docs: DataFrame, id_col: str, text_col: str, min_documents: int, min_length: int
 ) -> DataFrame:
-    """Rows ``id, hashes``: keys a document loses; documents that lose none are absent.
+    """Rows ``id, first, second, positions``: the lines that a text of an id loses.
 
-    Only hashes are shuffled. A key that a third of all documents hold is first reduced to
-    one row per document and then counted with partial sums, and only the join that marks
-    its documents sees it as a group, which adaptive execution splits.
+    Texts that lose none are absent; ``first`` and ``second`` are the keys of the text. Only
+    hashes and positions are shuffled. A key that a third of all documents hold is first
+    reduced to one row per document and then counted with partial sums, and only the join that
+    marks its lines sees it as a group, which adaptive execution splits.
     """
+    text = F.col("text")
+    first, second = text_key(text)
     lines = common.texts(docs, id_col, text_col).select(
-        "id", F.explode(F.split("text", "\n")).alias("line")
+        "id", first.alias("first"), second.alias("second"),
+        F.posexplode(F.split(text, "\n")).alias("position", "line"),
     )
-    keys = (
-        lines.select("id", line_key(F.col("line")).alias("key"))
+    hashed = (
+        lines.select("id", "first", "second", "position", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_length)
-        .select("id", line_hash(F.col("key")).alias("hash"))
-        .distinct()
+        .select("id", "first", "second", "position", line_hash(F.col("key")).alias("hash"))
     )
     frequent = (
-        keys.groupBy("hash")
+        hashed.select("id", "hash").distinct()
+        .groupBy("hash")
         .agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
         .where(F.col("n") >= min_documents)
         .drop("n")
     )
+    # Rows equal in id and text lose the same lines.
     return (
-        keys.join(frequent, "hash")
+        hashed.join(frequent, "hash")
         .where(F.col("id") != F.col("keeper"))
-        .groupBy("id")
-        .agg(F.collect_list("hash").alias("hashes"))
+        .groupBy("id", "first", "second")
+        .agg(F.array_sort(F.collect_set("position")).alias("positions"))
     )
 
 
+def between(lines: Column, positions: Column) -> Column:
+    """Lines that are at none of the positions, which ascend; every line is copied once."""
+    ends = F.concat(positions, F.array(F.size(lines)))
+
+    def stretch(end: Column, i: Column) -> Column:
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1) + 1)
+        return F.slice(lines, start + 1, end - start)
+
+    return F.flatten(F.transform(ends, stretch))
+
+
 def drop_repeated_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -70,28 +92,30 @@ def drop_repeated_lines(
     named as the report is replaced. An empty table gives an empty one.
     """
     drops = repeated_lines(docs, id_col, text_col, min_documents, min_length)
-    own, gone = common.fresh(docs.columns, "own_id"), common.fresh(docs.columns, "gone")
-    kept, all_lines = common.fresh(docs.columns, "kept"), common.fresh(docs.columns, "lines")
-    drops = drops.select(F.col("id").alias(own), F.col("hashes").alias(gone))
+    names = {
+        name: common.fresh(docs.columns, name)
+        for name in ("own_id", "own_first", "own_second", "lost", "kept", "lines")
+    }
+    keys = [names[name] for name in ("own_id", "own_first", "own_second")]
+    lost, kept, all_lines = (names[name] for name in ("lost", "kept", "lines"))
+    drops = drops.select(
+        F.col("id").alias(keys[0]), F.col("first").alias(keys[1]), F.col("second").alias(keys[2]),
+        F.col("positions").alias(lost),
+    )
     others = [column for column in docs.columns if column.lower() != report.lower()]
-    joined = docs.select(
-        *others, F.coalesce(F.col(id_col).cast("long"), F.lit(common.NO_ID)).alias(own)
-    ).join(drops.hint("shuffle_hash"), own, "left")
-
-    def stays(line: Column) -> Column:
-        return (F.char_length(line) < min_length) | ~F.array_contains(
-            F.col(gone), line_hash(line_key(line))
-        )
-
     text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [F.coalesce(F.col(id_col).cast("long"), F.lit(common.NO_ID)), *text_key(text)]
+    joined = docs.select(
+        *others, *(column.alias(name) for column, name in zip(own, keys, strict=True))
+    ).join(drops.hint("shuffle_hash"), keys, "left")
+    whole = F.col(lost).isNull()
     parts = joined.withColumn(all_lines, F.split(text, "\n")).withColumn(
-        kept,
-        F.when(F.col(gone).isNull(), F.col(all_lines)).otherwise(F.filter(all_lines, stays)),
+        kept, F.when(~whole, between(F.col(all_lines), F.col(lost)))
     )
     counts = F.struct(
         F.size(all_lines).cast("long").alias("n_lines"),
-        (F.size(all_lines) - F.size(kept)).cast("long").alias("n_dropped"),
+        F.when(whole, F.lit(0)).otherwise(F.size(lost)).cast("long").alias("n_dropped"),
     )
-    cleaned = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n"))
+    cleaned = F.when(whole, text).otherwise(F.array_join(kept, "\n"))
     columns = [cleaned.alias(c) if c == text_col else F.col(c) for c in others]
     return parts.select(*columns, counts.alias(report))

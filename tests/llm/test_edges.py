@@ -389,3 +389,34 @@ def test_toxicity_learns_from_few_texts_and_weighs_by_length():
     assert score(" ".join(plain)) < 0.3 and score("word1 word2 word3 " * 50) < 0.3
     assert score("") < 0.3
     assert toxicity._trained([], 4096) == b"        "
+
+
+def test_lines_of_many_rows_without_an_id(spark):
+    """All of them are one document: the work is in proportion to the rows."""
+    shared = "a line that several documents hold"
+    rows = spark.range(100_000).selectExpr(
+        "cast(null as long) doc_id", f"concat('own line of row number ', id, '\n{shared}') text")
+    others = spark.createDataFrame(
+        [(i, f"{shared}\nalone {i}") for i in (1, 2)], "doc_id long, text string")
+    found = lines.drop_repeated_lines(rows.unionByName(others))
+    counts = found.groupBy("doc_id").agg({"line_report.n_dropped": "sum", "text": "count"})
+    assert {r[0]: (r[1], r[2]) for r in counts.collect()} == {
+        None: (100_000, 100_000), 1: (1, 1), 2: (0, 1)}
+
+
+def test_a_text_that_loses_very_many_lines(spark):
+    many = "\n".join(f"repeated line with number {i} in it" for i in range(40_000))
+    rows = [(1, "first\n" + many + "\nlast"), (2, many), (3, many), (1, many + "\nother text")]
+    found = lines.drop_repeated_lines(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text, r.line_report.n_dropped) for r in found) == sorted([
+        (1, "first\nlast", 40_000), (2, "", 40_000), (3, many, 0), (1, "other text", 40_000)])
+
+
+def test_blocks_of_a_cluster_are_dealt_apart(spark):
+    rows = spark.createDataFrame(
+        [], "cluster long, node long, root long, n long, data binary, blocks long, meet long,"
+        " block long, head long")
+    plan = near_duplicates.verified_links(rows, 80)._jdf.queryExecution().executedPlan()
+    assert "hashpartitioning(cluster" in plan.toString()
+    exchange = [line for line in plan.toString().split("\n") if "hashpartitioning(cluster" in line]
+    assert all("low" in line and "high" in line for line in exchange)
