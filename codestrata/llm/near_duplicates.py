@@ -259,7 +259,8 @@ def verified_links(rows: DataFrame, percent: int) -> DataFrame:
             names=["a", "b"],
         )
 
-    pairs = members.unionByName(heads)
+    # Dealt by all three, as rows that lie by their cluster would all meet in one task.
+    pairs = members.unionByName(heads).repartition("cluster", "low", "high")
     return pairs.groupBy("cluster", "low", "high").applyInArrow(links, "a long, b long")
 
 
