@@ -420,3 +420,22 @@ def test_blocks_of_a_cluster_are_dealt_apart(spark):
     assert "hashpartitioning(cluster" in plan.toString()
     exchange = [line for line in plan.toString().split("\n") if "hashpartitioning(cluster" in line]
     assert all("low" in line and "high" in line for line in exchange)
+
+
+def test_rows_without_an_id_are_judged_one_by_one(spark, monkeypatch):
+    """One toxic row without an id takes no other with it, and copies of such rows go."""
+    clean = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(6)]
+    rows = [(None, "vile text"), (None, clean[0]), (None, clean[1]), (None, clean[1]), (7, clean[2]),
+            (7, "vile text"), (None, clean[2] + " tail"), (3, clean[3]), (None, clean[4])]
+    fake = toxicity.NEUTRAL
+    monkeypatch.setattr(toxicity, "train", lambda *args: fake)
+    monkeypatch.setattr(
+        toxicity, "score",
+        lambda docs, model, id_col: docs.selectExpr(
+            f"{id_col} id", "if(text like '%vile%', 0.9, 0.1) score"))
+    left = corpus_pipeline.without_toxic(spark, frame(spark, rows), "/root/testdata/sf0.001")
+    assert sorted(r.text for r in left.collect()) == sorted(t for _, t in rows if "vile" not in t)
+    kept = corpus_pipeline.one_of_each_group(spark, left, "/root/testdata/sf0.001").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted(
+        [("None", clean[0]), ("None", clean[1]), ("7", clean[2]), ("3", clean[3]),
+         ("None", clean[4])])
