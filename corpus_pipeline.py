@@ -16,21 +16,26 @@ from codestrata.llm import common, lines, mixing, near_duplicates, pieces, toxic
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 WEIGHTS = [5, 2, 1]
+# From this score on a text is toxic.
+TOXIC_SCORE = 0.3
+# Rows without an id are numbered by their text from here on, above all ids.
+NO_ID_RANGE = 1 << 62
 # SQL has neither trained dictionaries nor the tokenizer.
 ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted label is not toxic; labels are learnt from, never looked up.
+    """Documents whose text is not predicted as toxic; labels are learnt from, never looked up.
 
-    Equal texts have equal scores, so rows that repeat an id with several texts go together
-    when any of them is toxic. Rows without an id are judged as one document.
+    The decision is made for a text under its id, so rows that repeat an id, or have none, are
+    judged one by one.
     """
-    labels = common.table(spark, sf_dir, "labels")
-    scores = toxicity.toxic_scores(docs, labels)
-    toxic = scores.where("predicted = 1").select(F.col("id").alias("toxic_id")).distinct()
-    return docs.join(toxic.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("toxic_id")),
-                     "left_anti")
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    key = common.fresh(docs.columns, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
+    scores = toxicity.score(keyed, model, id_col=key)
+    toxic = scores.where(F.col("score") >= TOXIC_SCORE).select(F.col("id").alias(key)).distinct()
+    return keyed.join(toxic.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +54,18 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates.
 
-    Words come in fives and the similarity is 0.8. All rows of a kept id stay.
+    Words come in fives and the similarity is 0.8. All rows of a kept id stay. A row without an
+    id is a document of its own, behind all others, and of several with one text one stays.
     """
-    found = near_duplicates.near_duplicates(docs, words=5, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone_id")),
-                     "left_anti")
+    key = common.fresh(docs.columns, "node_key")
+    by_text = F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(NO_ID_RANGE))
+    keyed = docs.withColumn(
+        key, F.coalesce(F.col("doc_id").cast("long"), by_text + F.lit(NO_ID_RANGE)))
+    found = near_duplicates.near_duplicates(keyed, id_col=key, words=5, percent=80)
+    gone = found.where(~F.col("kept")).select(F.col("id").alias(key)).distinct()
+    kept = keyed.join(gone.hint("shuffle_hash"), key, "left_anti")
+    nameless = kept.where(F.col("doc_id").isNull()).dropDuplicates([key])
+    return kept.where(F.col("doc_id").isNotNull()).unionByName(nameless).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
