@@ -8,9 +8,10 @@ have it as their smallest. Equal segments are one, with the smallest id that hol
 
 The segments of an anchor's bucket are split into shards, each with a Burrows-Wheeler
 transform of its own. The transforms are merged by refining their interleave: every round
-orders all suffixes by one symbol more, reading nothing but the transforms, and the round
-in which two neighbours part gives their common prefix. Neighbours that share 50 bytes
-form the repeated intervals, and the smallest id in an interval tells which strings go.
+orders suffixes by one symbol more, reading nothing but the transforms. A suffix whose common
+prefix with all others ends in a round leaves, as what it is extended to can only be alone
+as well. Those left after 50 rounds form the repeated intervals, and the smallest id in an
+interval tells which strings go.
 
 An anchor around which very many segments stand is not given to one bucket. Its strings
 go to the buckets of their own hashes instead, where equal ones meet, and a batch sends a
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +101,7 @@ def keys_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes % np.uint64(buckets)) << np.uint64(40)) | low
 
 
-def announced(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+def announced(batch: pa.RecordBatch, buckets: int, number: int = 0) -> pa.RecordBatch:
     """What other batches must know of the anchors of this one, and what is settled here.
 
     An anchor is announced for the first and the last document of the batch that hold it,
@@ -129,6 +131,7 @@ def announced(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
         for part in np.split(chosen, cuts) if len(chosen) else []:
             docs, counts = np.unique(owners[part], return_counts=True)
             out["bucket"].append(int(where[part[0]]))
+            out["batch"].append(number)
             out["settled"].append(settled)
             out["docs"].append(docs.tobytes())
             out["counts"].append(counts.astype(np.int32).tobytes())
@@ -137,12 +140,13 @@ def announced(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(out, _ANNOUNCED)
 
 
-_ANNOUNCED = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("docs", pa.binary()),
-                        ("counts", pa.binary()), ("keys", pa.binary()), ("runs", pa.binary())])
+_ANNOUNCED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("settled", pa.bool_()),
+                        ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()),
+                        ("runs", pa.binary())])
 
 
 def shared_anchors(rows: pa.Table, hot_runs: int = HOT_RUNS) -> pa.Table:
-    """Per document the anchors of one bucket that another document holds, too.
+    """Per batch the anchors of one bucket that another document holds, too, by document.
 
     All documents are told alike which anchors have more than ``hot_runs`` runs, but for
     the rounding of a batch's runs to a power of two.
@@ -155,10 +159,11 @@ def shared_anchors(rows: pa.Table, hot_runs: int = HOT_RUNS) -> pa.Table:
         wide[:, :5] = np.frombuffer(row["keys"], np.uint8).reshape(-1, 5)
         keys = wide.view(np.uint64).ravel() | np.uint64(row["bucket"] << 40)
         runs = np.frombuffer(row["runs"], np.uint8) if row["runs"] else np.zeros(len(docs), np.uint8)
-        parts.append((docs, keys, np.full(len(docs), row["settled"]), runs))
-    docs, keys, settled, runs = (np.concatenate(column) for column in zip(*parts, strict=True))
-    order = np.lexsort((docs, keys))
-    docs, keys, settled, runs = docs[order], keys[order], settled[order], runs[order]
+        batches = np.full(len(docs), row["batch"])
+        parts.append((docs, keys, np.full(len(docs), row["settled"]), runs, batches))
+    columns = [np.concatenate(column) for column in zip(*parts, strict=True)]
+    order = np.lexsort((columns[0], columns[1]))
+    docs, keys, settled, runs, batches = (column[order] for column in columns)
     starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
     ends = np.append(starts[1:], len(keys))
     several = np.repeat(docs[starts] != docs[ends - 1], ends - starts)
@@ -166,7 +171,24 @@ def shared_anchors(rows: pa.Table, hot_runs: int = HOT_RUNS) -> pa.Table:
         counts = np.where(runs, np.int64(1) << (np.maximum(runs, 1) - 1).astype(np.int64), 0)
         hot = np.add.reduceat(counts, starts) > hot_runs
         keys = np.where(np.repeat(hot, ends - starts), keys | HOT, keys)
-    docs, keys = docs[several | settled], keys[several | settled]
+    told = several | settled
+    docs, keys, batches = docs[told], keys[told], batches[told]
+    order = np.lexsort((docs, batches))
+    docs, keys, batches = docs[order], keys[order], batches[order]
+    own, firsts = np.unique(batches, return_index=True)
+    cuts = firsts[1:]
+    lists = [np.split(column, cuts) if len(own) else [] for column in (docs, keys)]
+    return pa.table([pa.array(own, pa.int64()),
+                     *(pa.array([x.tobytes() for x in parts], pa.binary()) for parts in lists)],
+                    names=["batch", "docs", "keys"])
+
+
+def by_document(rows: pa.Table) -> pa.Table:
+    """Per document all its shared anchors, from the answers of all buckets to a batch."""
+    docs, keys = (
+        np.concatenate([np.frombuffer(x, kind) for x in rows.column(name).to_pylist()])
+        for name, kind in (("docs", np.int64), ("keys", np.uint64))
+    )
     order = np.argsort(docs, kind="stable")
     docs, keys = docs[order], keys[order]
     own, firsts = np.unique(docs, return_index=True)
@@ -264,44 +286,41 @@ class Shard:
 
 
 def merge(shards: list[Shard], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of all shards' suffixes by ``depth`` symbols, and their common prefixes.
+    """Suffixes that share ``depth`` symbols with others: interleaved places, and intervals.
 
-    The first array holds places in the shards put one after the other; the second the
-    length, up to ``depth``, of what a suffix shares with the one before it.
+    Places are those in the shards put one after the other. Only suffixes far enough from the
+    begin of their segment are followed, to the one that is ``depth`` symbols longer.
     """
     bases = np.cumsum([0, *(len(s.symbols) for s in shards)])
     symbols = np.concatenate([s.symbols for s in shards])
     longer = np.concatenate([s.steps() + base for s, base in zip(shards, bases, strict=False)])
-    places = np.arange(len(symbols))
-    group = np.zeros(len(symbols), np.int32)
-    prefix = np.full(len(symbols), depth, np.int32)
-    prefix[:1] = 0
-    for known in range(depth):
+    places = np.flatnonzero(np.concatenate([s.offset for s in shards]) >= depth)
+    group = np.zeros(len(places), np.int64)
+    for _ in range(depth):
         read = symbols[places]
         order = np.argsort(read, kind="stable")
-        read, group = read[order], group[order]
-        places = longer[places[order]]
-        parted = (read[1:] != read[:-1]) | (group[1:] != group[:-1])
-        prefix[1:][parted & (prefix[1:] == depth)] = known
-        group = np.concatenate(([0], np.cumsum(parted))).astype(np.int32)
-    return places, prefix
+        read, group, places = read[order], group[order], longer[places[order]]
+        fresh = np.ones(len(places), bool)
+        fresh[1:] = (read[1:] != read[:-1]) | (group[1:] != group[:-1])
+        group = np.cumsum(fresh)
+        shared = ~(fresh & np.append(fresh[1:], True)[: len(fresh)])
+        places, group = places[shared], group[shared]
+    return places, group
 
 
 def judged(contents: list[bytes], docs: np.ndarray) -> np.ndarray:
     """A bit for every string of each segment that a smaller document holds elsewhere."""
     shards = [Shard(contents[i : i + SHARD_SEGMENTS])
               for i in range(0, len(contents), SHARD_SEGMENTS)]
-    places, prefix = merge(shards)
+    places, interval = merge(shards)
+    masks = np.zeros(len(contents), np.int64)
+    if not len(places):
+        return masks
     segment = np.concatenate([s.segment + i * SHARD_SEGMENTS for i, s in enumerate(shards)])[places]
     offset = np.concatenate([s.offset for s in shards])[places]
-    lengths = np.array([len(c) for c in contents])
-    interval = np.cumsum(prefix < LENGTH)
-    whole = offset + LENGTH <= lengths[segment]
-    segment, offset, interval = segment[whole], offset[whole], interval[whole]
     starts = np.concatenate(([0], np.flatnonzero(np.diff(interval)) + 1))
     least = np.repeat(np.minimum.reduceat(docs[segment], starts),
                       np.diff(np.append(starts, len(segment))))
-    masks = np.zeros(len(contents), np.int64)
     late = least < docs[segment]
     np.bitwise_or.at(masks, segment[late], np.int64(1) << offset[late])
     return masks
@@ -487,8 +506,10 @@ def remove_repeats(
     buckets = size // bucket_bytes + 1
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sized(batches):
-            yield announced(batch, buckets)
+        # Numbered by partition, so that a task that runs again gives the same numbers.
+        first = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(_sized(batches)):
+            yield announced(batch, buckets, first + number)
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sized(batches):
@@ -517,11 +538,14 @@ def remove_repeats(
             )
 
     told = texts.mapInArrow(
-        announce, "bucket long, settled boolean, docs binary, counts binary, keys binary, runs binary"
+        announce, "bucket long, batch long, settled boolean, docs binary, counts binary,"
+        " keys binary, runs binary"
     )
     answers = told.groupBy("bucket").applyInArrow(
-        lambda rows: shared_anchors(rows, hot_runs), "id long, keys binary"
+        lambda rows: shared_anchors(rows, hot_runs), "batch long, docs binary, keys binary"
     )
+    # A batch has bounded text, so all that is answered to it fits a task.
+    answers = answers.groupBy("batch").applyInArrow(by_document, "id long, keys binary")
     answers = common.staged(answers, "anchors")
     flagged = answers.groupBy("id").agg(F.collect_list("keys").alias("keys"))
     # The texts are moved to their answers once: both uses below read the same exchange.

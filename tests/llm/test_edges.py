@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 import corpus_pipeline
@@ -192,12 +193,19 @@ def test_spans_around_a_phrase_in_many_contexts(spark):
     batches = [pa.RecordBatch.from_pydict({"id": [i for i, _ in part], "text": [t for _, t in part]},
                pa.schema([("id", pa.int64()), ("text", pa.string())]))
                for part in ([(i, t.decode()) for i, t in rows[k::3]] for k in range(3))]
-    told = [row for b in batches for row in repeated_spans.announced(b, buckets).to_pylist()]
+    told = [row for number, b in enumerate(batches)
+            for row in repeated_spans.announced(b, buckets, number).to_pylist()]
     keys: dict[int, list[bytes]] = {}
+    answers = []
     for bucket in {row["bucket"] for row in told}:
         mine = pa.Table.from_pylist([r for r in told if r["bucket"] == bucket],
                                     repeated_spans._ANNOUNCED)
-        for row in repeated_spans.shared_anchors(mine, hot).to_pylist():
+        answers.append(repeated_spans.shared_anchors(mine, hot))
+        assert answers[-1].num_rows <= len(batches)
+    answers = pa.concat_tables(answers)
+    for number in range(len(batches)):
+        mine = answers.filter(pc.equal(answers["batch"], number))
+        for row in repeated_spans.by_document(mine).to_pylist():
             keys.setdefault(row["id"], []).append(row["keys"])
     around: dict[int, int] = {}
     for b in batches:
