@@ -52,11 +52,14 @@ def decimal_mean(value: Column) -> Column:
     """Mean that does not depend on the order of summation.
 
     Values are summed as decimals of ten places, so equal inputs give the same mean in any
-    partitioning. What is too large for one (beyond 10**28) is left out, and a sum that is
-    gives NULL.
+    partitioning. A value that is too large for one (from 10**28 on), and a sum that is, is an
+    error: nothing is left out of a mean.
     """
-    exact = value.try_cast("decimal(38,10)")
-    return F.try_sum(exact).cast("double") / F.nullif(F.count(exact), F.lit(0))
+    number = value.cast("double")
+    too_large = F.raise_error(F.lit("a value of a mean is 10**28 or more")).cast("decimal(38,10)")
+    exact = F.when(F.abs(number) >= F.lit(1e28), too_large).otherwise(
+        value.try_cast("decimal(38,10)"))
+    return F.sum(exact).cast("double") / F.nullif(F.count(exact), F.lit(0))
 
 
 def coerce_number(value: Column) -> Column:

@@ -19,7 +19,7 @@ _REPOSITORY = """full_name string, fullName string, html_url string, url string,
 # A record that cannot be read ends up in ``unreadable`` and is left out.
 REPOSITORY_JSON = struct(f"{_REPOSITORY}, unreadable string", items=ArrayType(struct(_REPOSITORY)))
 _UNREADABLE = {"columnNameOfCorruptRecord": "unreadable"}
-# Fixed bound: results in one landed search response.
+# Results in one landed search response; more are an error, as their order would be lost.
 RESULTS_PER_RESPONSE = 1 << 20
 
 PULL_REQUEST_JSON = struct(
@@ -50,9 +50,11 @@ def _results(records: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     alone = F.array(F.struct(*fields))
     results = F.coalesce("items", alone)
     placed = records.select(*keep, F.posexplode(results).alias("number", "result"))
-    shifted = (
-        (F.col(name) * RESULTS_PER_RESPONSE + F.col("number")).alias(name) for name in keep
-    )
+    number = F.when(
+        F.col("number") >= RESULTS_PER_RESPONSE,
+        F.raise_error(F.lit("a search response holds too many results")).cast("int"),
+    ).otherwise(F.col("number"))
+    shifted = ((F.col(name) * RESULTS_PER_RESPONSE + number).alias(name) for name in keep)
     return placed.select("result.*", *shifted)
 
 

@@ -29,7 +29,7 @@ def test_every_pull_request_counts(rows):
 
 @pytest.mark.parametrize("values, mean", [
     ([2e12, 2e12], 2e12), ([9e11] * 12, 9e11), ([0.01, 0.03], 0.02), ([4e18, 1.0], 2e18),
-    ([None, 5.0], 5.0), ([float("nan"), float("inf"), 3.0], 3.0), ([1e30], None),
+    ([None, 5.0], 5.0), ([float("nan"), float("inf"), 3.0], 3.0), ([4e27, 5e27], 4.5e27),
 ])
 def test_means_of_any_size(rows, values, mean):
     facts = rows("repository string, state string, commits double, hours_to_close double",
@@ -38,6 +38,13 @@ def test_means_of_any_size(rows, values, mean):
     assert health["avg_commits_per_pr"] == mean
 
 
+def test_a_value_too_large_for_an_exact_mean_is_an_error(rows):
+    facts = rows("repository string, state string, commits double, hours_to_close double",
+                 ("a/b", "open", 1e30, 1.0), ("a/b", "open", 1.0, 1.0))
+    with pytest.raises(Exception, match="10\\*\\*28"):
+        pull_requests.pull_request_health(facts).collect()
+
+
 def test_an_unreadable_root_date_is_not_the_first(rows):
     commits = rows(
         "repository string, sha string, parent_count int, author_name string, author_email string,"

@@ -326,3 +326,12 @@ def test_scans_push_filters_and_prune_columns(spark, tmp_path):
     assert "Test" not in lines.split("== Physical Plan ==")[1]
     ends = history.first_and_last_commit(commits)._jdf.queryExecution().toString()
     assert "Or(And(EqualTo(on_head,true),EqualTo(parent_count,0)),EqualTo(is_head,true))" in ends
+
+
+def test_a_response_with_too_many_results_is_an_error(spark, tmp_path, monkeypatch):
+    (tmp_path / "r.json").write_text('{"items": [{"full_name": "a/b"}, {"full_name": "a/c"}]}\n')
+    rows = hosting.scan_repository_json(spark, str(tmp_path), "seq").orderBy("seq").collect()
+    assert [row.full_name for row in rows] == ["a/b", "a/c"]
+    monkeypatch.setattr(hosting, "RESULTS_PER_RESPONSE", 1)
+    with pytest.raises(Exception, match="too many results"):
+        hosting.scan_repository_json(spark, str(tmp_path), "seq").collect()
