@@ -208,10 +208,11 @@ def segments(
 
     hashes, starts, ends = runs
     chosen = np.isin(keys_of(hashes, buckets), shared)
-    columns = (column[chosen].tolist() for column in (hashes, starts, ends))
-    for anchor, start, end in zip(*columns, strict=True):
-        content = data[start : end + LENGTH - 1].tobytes()
-        yield anchor, start, end, name_of(xxhash.xxh3_64_intdigest(content)), content
+    own, firsts, lasts = (column[chosen].tolist() for column in (hashes, starts, ends))
+    text, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    contents = [text[a : b + LENGTH - 1] for a, b in zip(firsts, lasts, strict=True)]
+    names = np.array([digest(content) for content in contents], np.uint64).view(np.int64).tolist()
+    return zip(own, firsts, lasts, names, contents, strict=True)
 
 
 def hot_strings(
@@ -474,16 +475,18 @@ def cut(
         places = places[np.isin(low, lost)]
         gone[places] += 1
         gone[places + LENGTH] -= 1
+    begins, stops = [], []
     for _, start, end, name, _ in segments(data, runs, shared, buckets) if known else ():
         mask = known.get(name, 0)
         if mask == -1:
-            gone[start] += 1
-            gone[end - 1 + LENGTH] -= 1
+            begins.append(start)
+            stops.append(end - 1 + LENGTH)
         elif mask:
-            for offset in range(end - start):
-                if mask >> offset & 1:
-                    gone[start + offset] += 1
-                    gone[start + offset + LENGTH] -= 1
+            places = [start + offset for offset in range(end - start) if mask >> offset & 1]
+            begins += places
+            stops += [place + LENGTH for place in places]
+    np.add.at(gone, np.array(begins, np.int64), 1)
+    np.subtract.at(gone, np.array(stops, np.int64), 1)
     covered = np.cumsum(gone[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
     return data[~covered].tobytes(), edges[::2], edges[1::2]
