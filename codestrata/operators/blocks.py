@@ -6,9 +6,9 @@ braces that open or close blocks of one depth, opening and closing ones alternat
 after an opening one ends its block, and a difference of running sums measures the block. The
 block around a piece is the last one opened at its depth.
 
-All of it is one shuffle by file. What is shuffled for a piece are its counts, and its text
-only if it can begin a block or declare something. A file's name must be unique in its
-repository.
+All of it is one shuffle by file, made before texts are cut: a table of few or small files, read
+by one task, is then cut by all of them, and a text takes less room than the counts of its
+pieces. A file's name must be unique in its repository.
 
 This is no parser. Headers are told by patterns: a method by a name and parameters before its
 block, with nothing that makes it a call, and a type as for ``type_declarations``.
@@ -30,9 +30,10 @@ TOKEN = r"[\w$\x{80}-\x{10FFFF}]++|&&|\|\||[-+*/%&|^!=<>]=|\+\+|--|->|::|[^\s]"
 # The wildcard of a type argument is no decision.
 WILDCARD = r"[<,]\s*+\?"
 # From the name of a method to the brace or semicolon behind its parameters. What is repeated
-# gives nothing back, so the time it takes grows with the length of the header alone.
+# gives nothing back, and no search starts within a word, so the time it takes grows with the
+# length of the header alone.
 METHOD = (
-    r"([A-Za-z_$][\w$]*+)\s*+\(((?:[^()]++|\([^()]*+\))*+)\)"
+    r"(?<![A-Za-z_$])([A-Za-z_$][\w$]*+)\s*+\(((?:[^()]++|\([^()]*+\))*+)\)"
     r"\s*+(?:throws\s[^(){}=;]*+)?[{;]\z"
 )
 # Words before parentheses that are no method names, and words before a name
@@ -51,6 +52,7 @@ PARENTHESES = r"\([^()]*+\)"
 FIELD = r"\A(?:[\w$.]++ )+[\w$]++ ?[=,;]"
 
 _FILE = ("repository", "file")
+TASKS_A_CORE = 8
 
 
 def plain_code(text: Column) -> Column:
@@ -86,9 +88,23 @@ def _written(text: Column) -> Column:
     return F.size(lines).cast("long")
 
 
+def dealt(sources: DataFrame) -> DataFrame:
+    """The sources, dealt by file over several tasks for each core.
+
+    The number is stated, as adaptive execution would merge tasks by the size of the texts,
+    which is a small part of what is made of them.
+    """
+    spark = sources.sparkSession
+    number = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        TASKS_A_CORE * spark.sparkContext.defaultParallelism,
+    )
+    return sources.select(*_FILE, "text").repartition(number, *_FILE)
+
+
 def pieces(sources: DataFrame) -> DataFrame:
     """Pieces of the texts with their counts; the last one of a file may end in no mark."""
-    cut = sources.select(
+    cut = dealt(sources).select(
         *_FILE, F.posexplode(F.split(plain_code(F.col("text")), "(?<=[{};])")).alias(
             "position", "piece"),
     )
@@ -107,6 +123,11 @@ def pieces(sources: DataFrame) -> DataFrame:
     )
 
 
+def _blanked(text: Column, mark: str, pattern: str) -> Column:
+    """Text with spaces for what the pattern finds, which always holds the mark."""
+    return F.when(F.contains(text, F.lit(mark)), F.regexp_replace(text, pattern, " ")).otherwise(text)
+
+
 def _headers(found: DataFrame) -> DataFrame:
     """Adds what the header of a piece says: a type, a method, or declared names."""
     header, mark = F.col("header"), F.col("mark")
@@ -128,16 +149,15 @@ def _headers(found: DataFrame) -> DataFrame:
         & (typed | bare | F.endswith(F.rtrim("before", F.lit(" \t\n")), F.lit(")")))
     )
     # Names declared by a statement: those after the commas outside brackets of any kind.
-    stripped = F.regexp_replace(header, ANNOTATION, " ")
-    for _ in range(3):
-        stripped = F.regexp_replace(stripped, PARENTHESES, " ")
-    stripped = F.regexp_replace(without_type_arguments(stripped), r"\[[^\[\]]*+\]", " ")
+    # Each step is a column of its own, as it is named more than once.
+    unmarked = F.when(~F.col("is_type") & ~F.col("is_method"), _blanked(header, "@", ANNOTATION))
+    stripped = _blanked(without_type_arguments(F.col("stripped")), "[", r"\[[^\[\]]*+\]")
     stripped = F.trim(F.regexp_replace(stripped, r"\s++", " "))
     commas = (F.length("stripped") - F.length(F.replace("stripped", F.lit(",")))).cast("long")
     assigns = F.contains("stripped", F.lit("="))
     declares = F.regexp_like("stripped", F.lit(FIELD)) & (assigns | (mark == ";"))
     goes_on = F.startswith("stripped", F.lit(",")) & (assigns | (mark == ";"))
-    return (
+    told = (
         found.withColumn("is_type", is_type)
         .withColumn("type_header", F.when(F.col("is_type"), plain))
         .withColumn("signature", F.coalesce(signature, F.lit("")))
@@ -145,11 +165,12 @@ def _headers(found: DataFrame) -> DataFrame:
         .withColumn("before", F.when(F.col("signature") != "", before))
         .withColumn("typed", F.coalesce(typed, F.lit(False)))
         .withColumn("is_method", F.coalesce(method, F.lit(False)))
-        .withColumn("stripped", F.when(~F.col("is_type") & ~F.col("is_method"), stripped))
-        .withColumn(
-            "declared",
-            F.when(declares, commas + 1).when(goes_on, commas).otherwise(F.lit(0)),
-        )
+        .withColumn("stripped", unmarked)
+    )
+    for _ in range(3):
+        told = told.withColumn("stripped", _blanked(F.col("stripped"), "(", PARENTHESES))
+    return told.withColumn("stripped", stripped).withColumn(
+        "declared", F.when(declares, commas + 1).when(goes_on, commas).otherwise(F.lit(0))
     )
 
 
@@ -159,7 +180,7 @@ def declarations(sources: DataFrame) -> DataFrame:
     ``around`` is null at the top of a file and in blocks that are no type's.
     """
     mark = F.col("mark")
-    # The headers are read before the shuffle, so that no other text is moved.
+    # The headers are read before the sorts, so that no other text is moved.
     told = _headers(pieces(sources)).select(
         *_FILE, "position", "mark", "tokens", "decisions", "lines", "feeds", "is_type",
         "type_header", "is_method", "typed", "name", "declared",

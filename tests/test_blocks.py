@@ -117,3 +117,16 @@ def test_a_long_file_and_an_empty_table(spark, sources):
     assert blocks.type_structure(long).first().methods == 20000
     assert blocks.method_metrics(sources.limit(0)).collect() == []
     assert blocks.type_structure(sources.limit(0)).collect() == []
+
+
+def test_texts_read_by_one_task_are_cut_by_many(spark):
+    one = spark.range(0, 400, 1, 1).select(
+        F.lit("r").alias("repository"), F.concat("id", F.lit(".java")).alias("file"),
+        F.concat(F.lit("class A { void f"), "id", F.lit("() { x(); } }")).alias("text"))
+    assert one.rdd.getNumPartitions() == 1
+    cut = blocks.pieces(one).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(cut) > 8 and max(row["count"] for row in cut) < 400
+    # A file stays in one task.
+    tasks = blocks.pieces(one).select("file", F.spark_partition_id().alias("task")).distinct()
+    assert tasks.count() == 400
+    assert blocks.method_metrics(one).count() == 400
