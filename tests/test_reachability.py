@@ -96,3 +96,54 @@ def test_one_log_gives_the_commit_summary(spark, tmp_path):
     assert (row.total_commits, row.span_days, row.distinct_active_days) == (4, 4, 4)
     assert row.first_commit.startswith("2024-01-01") and row.last_commit.startswith("2024-01-05")
     assert sum(r.commits for r in history.developer_commits(commits).collect()) == 4
+
+
+def test_random_graphs_made_smaller(spark, monkeypatch):
+    random.seed(8)
+    monkeypatch.setattr(reachability, "SMALL", 0)
+    rows = []
+    for number in range(30):
+        n = random.randint(1, 40)
+        for i in range(n):
+            # Recent parents, so that there are chains, and branches that are merged.
+            near = range(max(0, i - 4), i)
+            own = random.sample(near, min(len(near), random.choice([0, 1, 1, 1, 1, 2])))
+            refs = "HEAD -> main" if i == n * 3 // 4 else ""
+            rows.append((f"r{number}", f"c{i}", [f"c{p}" for p in own], refs))
+    # Rows that come twice, and a key with other parents.
+    rows += rows[:100] + [("r1", "c0", ["gone"], ""), ("r2", "c9", ["c1", "c2"], None)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_a_cycle_made_smaller_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(reachability, "LONGEST", 6)
+    monkeypatch.setattr(reachability, "SMALL", 0)
+    rows = [("a", str(i), [str((i + 1) % 9)], "HEAD" if i == 3 else "") for i in range(9)]
+    with pytest.raises(ValueError, match="lead back"):
+        found(spark, rows)
+
+
+def test_what_is_written_grows_with_the_commits(spark, monkeypatch):
+    monkeypatch.setattr(reachability, "SMALL", 1000)
+    written = []
+
+    def counted(frame, label, write=reachability.staged):
+        table = write(frame, label)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(reachability, "staged", counted)
+
+    def per_commit(n):
+        written.clear()
+        commits = spark.range(n).select(
+            F.lit("r").alias("repository"), F.col("id").cast("string").alias("sha"),
+            F.when(F.col("id") > 0, F.array((F.col("id") - 1).cast("string"))).alias("parents"),
+            F.when(F.col("id") == n - 10, "HEAD -> main").alias("refs"),
+        )
+        assert reachability.reached(commits).count() == n - 9
+        return sum(written) / n
+
+    # Pointers of all lengths alone took log2(n) rows a commit, 13 and 16 here.
+    small, large = per_commit(8_000), per_commit(64_000)
+    assert large < 1.2 * small and large < 12

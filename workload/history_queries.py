@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codestrata.operators import commit_state, history, people, reachability
 from codestrata.operators.code import complexity_summary, file_complexity
 from codestrata.plans import hotspots as plan
+from codestrata.session import staged
 from codestrata.sources.history_text import parse_author_mapping
 from workload.registry import query
 from workload.views import load
@@ -186,7 +187,9 @@ REACHED = """
 
 @query(REACHED, "v_commit_graph")
 def head_reachability(spark, sf_dir):
-    commits = load(spark, sf_dir, "v_commit_graph")
+    graph = load(spark, sf_dir, "v_commit_graph").select("repository", "sha", "parents", "refs")
+    # The view is a join of several reads, and the operator reads its commits twice.
+    commits = staged(graph, "graph")
     parents = F.filter(F.split("parents", " "), lambda parent: parent != "")
     found = reachability.with_head(commits.withColumn("parents", parents))
     return found.select("repository", "sha", "on_head", "is_head")
